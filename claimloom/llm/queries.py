@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, near_dedup, packing, quality, token_counts
+from . import byte_bpe, language_id, near_dedup, packing, pii, quality, token_counts
 from .shared import table
 
 
@@ -35,6 +35,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_quality_rules, op7_language_id, op8_minhash_near_dedup, op9_token_counts)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_quality_rules, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_pii_surrogates)}
 
 SQL: dict[str, str] = {}
