@@ -18,7 +18,7 @@ import regex
 LETTER, NUMBER, OTHER, TAKES1, TAKES2, SPACE_IN, SPACE_PREFIX, SPACE_LAST = range(8)
 FIRST = 8  # added to the symbol of a text's first character
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_PREFIX, IN_SPACE, ONE_MORE, TWO_MORE = range(8)
-CHUNK = 128
+CHUNK, HEAD = 128, 12
 
 
 @lru_cache(maxsize=1)
@@ -97,24 +97,43 @@ class Pretokenizer:
         return out
 
     def boundaries(self, symbols: np.ndarray) -> np.ndarray:
-        """True where a pre-token starts."""
+        """True where a pre-token starts.
+
+        A chunk's map is followed from all states at once only until they have met in one, which
+        takes a few symbols; from there on its states are known whatever came before.
+        """
         n = len(symbols)
         rows = -(-n // CHUNK)
         padded = np.full(rows * CHUNK, OTHER, np.uint8)
         padded[:n] = symbols
         grid = np.ascontiguousarray(padded.reshape(rows, CHUNK).T)
         flat_next, flat_new = self.next.ravel(), self.new.ravel()
+        out = np.empty((CHUNK, rows), np.bool_)
+
+        def walk(state: np.ndarray, low: int, high: int, rows: np.ndarray | slice) -> np.ndarray:
+            for i in range(low, high):
+                at = (state << 4) | grid[i, rows]
+                out[i, rows] = flat_new.take(at)
+                state = flat_next.take(at)
+            return state
+
         maps = np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
-        for symbol in grid:
-            maps = flat_next[(maps << 4) | symbol[:, None]]
-        state = np.zeros(rows, np.uint8)
+        for symbol in grid[:HEAD]:
+            maps = flat_next.take((maps << 4) | symbol[:, None])
+        met = (maps == maps[:, :1]).all(axis=1)
+        maps[:] = walk(maps[:, 0], HEAD, CHUNK, slice(None))[:, None]
+        apart = np.flatnonzero(~met)
+        if len(apart):
+            whole = np.tile(np.arange(8, dtype=np.uint8), (len(apart), 1))
+            for symbol in grid[:, apart]:
+                whole = flat_next.take((whole << 4) | symbol[:, None])
+            maps[apart] = whole
+        entry = np.zeros(rows, np.uint8)
         if rows > 1:
-            state[1:] = compose_scan(maps[:-1])[:, CLOSED]
-        out = np.empty((CHUNK, rows), np.bool_)
-        for i, symbol in enumerate(grid):
-            at = (state << 4) | symbol
-            out[i] = flat_new[at]
-            state = flat_next[at]
+            entry[1:] = compose_scan(maps[:-1])[:, CLOSED] if len(apart) else maps[:-1, 0]
+        walk(entry, 0, HEAD, slice(None))
+        if len(apart):
+            walk(entry[apart], 0, CHUNK, apart)
         return out.T.ravel()[:n]
 
     def split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
