@@ -70,22 +70,34 @@ class _State:
 
 
 class PieceMemo(dict):
-    """Answers by pre-token; at most `limit`, then all are dropped. The machine restarts at every
-    pre-token, so an answer is the composite arc from its start state over the whole pre-token."""
+    """Answers by pre-token. The machine restarts at every pre-token, so an answer is the composite
+    arc from its start state over the whole pre-token. Two generations of at most `limit` answers: a
+    full one grows old, an old answer that is used again comes back, the rest goes."""
 
-    def __init__(self, answer: Callable[[str], object], limit: int = 400_000):
+    def __init__(self, answer: Callable[[bytes], object], limit: int = 500_000):
         super().__init__()
-        self.answer, self.limit = answer, limit
+        self.answer, self.limit, self.old = answer, limit, {}
 
     def __missing__(self, piece: str):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        if len(piece) > 64:
-            return self.answer(piece)
-        self[piece] = out = self.answer(piece)
+        if (out := self.old.get(piece)) is None:
+            out = self.answer(piece.encode())
+        if len(piece) <= 64:
+            self[piece] = out
         return out
 
 
+class _State:
+    """guesses; arcs by byte: next state, emitted ids, their number; what is left if the piece ends."""
+
+    __slots__ = ("arcs", "guesses", "tail")
+
+    def __init__(self, guesses: tuple, tail: tuple):
+        self.guesses, self.arcs, self.tail = guesses, {}, tail
+
+
 class Transducer:
     """run(data): ids of one pre-token. count(data): their number, from the arcs' emitted counts.
 
@@ -93,7 +105,7 @@ class Transducer:
     tuple of guesses. Both memos, of states and of whole pre-tokens, are emptied when full.
     """
 
-    def __init__(self, merges: Merges, max_states: int = 150_000):
+    def __init__(self, merges: Merges, max_states: int = 300_000):
         self.merges, self.max_states = merges, max_states
         self.child: dict[int, int] = {}  # trie node << 8 | byte: node
         self.token_at: dict[int, int] = {}  # trie node: token that ends there
@@ -110,13 +122,8 @@ class Transducer:
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.start = self._state((((-1,), 0),))
         gc.collect()
-
-    def _state(self, guesses: tuple) -> _State:
-        if (s := self.states.get(guesses)) is None:
-            s = self.states[guesses] = _State(guesses)
-        return s
+        self.start = _State((((-1,), 0),), ())
 
     def _spine(self, token: int) -> tuple:
         """How the token's first and last part grow while it is merged: ((part, rank it is merged
@@ -146,7 +153,7 @@ class Transducer:
         key = a << 24 | b
         if (ok := self.fits.get(key)) is not None:
             return ok
-        if len(self.fits) > 4 * self.max_states:
+        if len(self.fits) > 2 * self.max_states:
             self.fits.clear()
         rank = self.merges.rank
         left, right = self._spine(a)[1], self._spine(b)[0]
@@ -169,25 +176,34 @@ class Transducer:
 
     def _arc(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...], int]:
         """Determinise one step: extend every guess, complete the one token that may end here."""
-        out = []
+        out, ended = [], ()
+        child, token_at, fits = self.child, self.token_at, self.fits
         for tokens, node in state.guesses:
-            if (grown := self.child.get(node << 8 | byte)) is not None:
-                out.append((tokens, grown))
-                token = self.token_at.get(grown)
-                if token is not None and self._compatible(tokens[-1], token):
-                    out.append(((*tokens, token), 0))
+            grown = child.get(node << 8 | byte)
+            if grown is None:
+                continue
+            out.append((tokens, grown))
+            if not ended and (token := token_at.get(grown)) is not None:
+                if (ok := fits.get(tokens[-1] << 24 | token)) is None:
+                    ok = self._compatible(tokens[-1], token)
+                if ok:  # just one guess ends in a token: what merging the bytes so far would give
+                    ended = (*tokens, token)
+                    out.append((ended, 0))
         first = out[0][0]
         shared = len(first)
-        for tokens, _ in out[1:]:
-            if tokens[:shared] != first[:shared]:
-                k = 1
-                while tokens[:k] == first[:k]:
-                    k += 1
-                shared = k - 1
-        emitted = first[1:shared]
+        for tokens, _ in out:
+            if tokens is not first and tokens[:shared] != first:
+                while tokens[:shared] != first[:shared]:
+                    shared -= 1
+                first = first[:shared]
         if shared > 1:
-            out = [(tokens[shared - 1 :], node) for tokens, node in out]
-        state.arcs[byte] = arc = (self._state(tuple(out)), emitted, len(emitted))
+            emitted = first[1:]
+            guesses = tuple([(tokens[shared - 1 :], node) for tokens, node in out])
+        else:
+            emitted, guesses = (), tuple(out)
+        if (to := self.states.get(guesses)) is None:
+            to = self.states[guesses] = _State(guesses, ended[shared:])
+        state.arcs[byte] = arc = (to, emitted, len(emitted))
         return arc
 
     def run(self, data: bytes) -> tuple[int, ...]:

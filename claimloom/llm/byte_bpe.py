@@ -87,7 +87,7 @@ class ByteBpe:
         for token, i in merges.ids.items():
             self.vocabulary[i] = token
         self.decimal = [str(i) for i in range(len(self.vocabulary))]
-        self.memo = PieceMemo(lambda piece: self.machine.run(piece.encode()))
+        self.memo = PieceMemo(self.machine.run)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         pieces, n = self.pretokenizer.split(texts)

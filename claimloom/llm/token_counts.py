@@ -37,7 +37,7 @@ class TokenCounter:
         self.special = [t["content"] for t in file["added_tokens"]]
         self.pretokenizer = Pretokenizer(space_prefix=True, digits_alone=False)
         machine = Transducer(Merges.from_json(path))
-        self.memo = PieceMemo(lambda piece: machine.count(piece.encode()))
+        self.memo = PieceMemo(machine.count)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         segments, owner, extra = texts, np.arange(len(texts)), np.zeros(len(texts), np.int64)
