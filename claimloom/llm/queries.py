@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, near_dedup, neighbours, packing, pii, quality, token_counts
+from . import byte_bpe, chat, language_id, near_dedup, neighbours, packing, pii, quality, token_counts
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -44,6 +48,6 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_nearest_neighbours, op4_byte_bpe, op5_quality_rules, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_pii_surrogates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_nearest_neighbours, op4_byte_bpe, op5_quality_rules, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_pii_surrogates)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL}
