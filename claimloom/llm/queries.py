@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language_id, near_dedup, neighbours, packing, pii, quality, token_counts
+from . import byte_bpe, chat, language_id, licenses, near_dedup, neighbours, packing, pii, quality, token_counts
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_nearest_neighbours, op4_byte_bpe, op5_quality_rules, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_pii_surrogates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_nearest_neighbours, op4_byte_bpe, op5_quality_rules, op6_license_scan, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_pii_surrogates)}
 
 SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL}

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Call
     follows that number and the longest single text, not the partition.
     """
     schema = T.StructType([T.StructField(k, id_type(df, k)) for k in keys] + fields)
-    names = schema.fieldNames()
+    names, types = schema.fieldNames(), [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -52,7 +53,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Call
                     chars += len(texts[end] or "")
                     end += 1
                 columns = list(zip(*work(texts[at:end]), strict=True))
-                out = [c.slice(at, end - at) for c in rest] + [pa.array(c) if not isinstance(c, pa.Array) else c for c in columns]
+                out = [c.slice(at, end - at) for c in rest] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(out, names=names)
                 at = end
 
