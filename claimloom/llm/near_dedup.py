@@ -17,7 +17,6 @@ At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32 = 5e-6
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import cut, id_type, map_texts
+from .shared import cut, id_type, map_texts, store
 
 SLOTS, BAND, BANDS = 256, 4, 32  # bands use the first 128 slots, estimates all
 #: Pairs whose signatures agree in fewer slots are under 0.75 but for 5 standard deviations.
@@ -278,19 +277,6 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "leader long, a long, b long")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared checkpoint folder and read it back (smaller than a
-    checkpoint where texts are concerned)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        cut(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base}/claimloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Key, n_shingles, component_id (the smallest key reachable over links) and kept (key is its
     component_id) of every row.

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -27,10 +29,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and read it back (smaller than a
+    checkpoint where texts are concerned)."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        cut(spark.range(1))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base}/claimloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def id_type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
+def choose(docs: DataFrame, text: str, decide: Callable[[DataFrame, list[str], str], DataFrame]) -> DataFrame:
+    """Rows of docs that decide() keeps, with all their columns as they were.
+
+    decide(docs, keys, text) gets the columns under names that clash with nothing and returns those
+    keys with columns of its own, already filtered.
+    """
+    names = docs.columns
+    plain = [f"_column{i}" for i in range(len(names))]
+    kept = decide(docs.toDF(*plain), plain, plain[names.index(text)])
+    return kept.select(*plain).toDF(*names)
+
+
 def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[list[str]], list[dict]]], fields: list[T.StructField], batch_chars: int = 2_000_000) -> DataFrame:
     """One output row per input row: its key columns, then `fields` computed from its text.
 
@@ -57,4 +84,4 @@ def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Call
                 yield pa.RecordBatch.from_arrays(out, names=names)
                 at = end
 
-    return df.select(*keys, text).mapInArrow(run, schema)
+    return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
