@@ -251,8 +251,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ones too, and other columns are untouched; a column called n_entities would be replaced.
     The texts are not shuffled unless some surrogate had to be drawn again.
     """
+    kept = [c for c in docs.columns if c != "n_entities"]
+    columns = [f"_column{i}" for i in range(len(kept))]
+    text = columns[kept.index(text)]
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept)).toDF(*columns)  # clear of the names below
     again = later_draws(docs, text, key)
-    columns = [c for c in docs.columns if c != "n_entities"]
     work = docs
     late = None
     if not again.isEmpty():
@@ -275,4 +278,4 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     between = F.split(F.col(text), ANY, -1)
     whole = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = F.when(F.col("_found").isNull(), F.col(text)).otherwise(whole)
-    return made.select(*(out.alias(text) if c == text else F.col(f"`{c}`") for c in columns), F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"))
+    return made.select(*(out.alias(text) if c == text else F.col(c) for c in columns), F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities")).toDF(*kept, "n_entities")
