@@ -1,0 +1,424 @@
+"""Each operator against brute force or its library, on odd rows and on none."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import regex
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from claimloom.llm import bpe_fst, byte_bpe, chat, graph, language_id, licenses, near_dedup, neighbours, packing, pii, pretoken, quality, token_counts, word_ids
+
+RANKS, JSON, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
+ODD = ["a", "b", " ", "Z", "'", "s", "ll", "re", "1", "²", "\n", "\t", ".", "!", "é", "É", "日", "\r", "\x1c", "\x85", "\xa0", "½", "😀", "é", "İ", "ΑΣ ", "<|endoftext|>", "the ", "\x00", "​", "　", "’"]
+
+
+def odd_texts(n, seed=1):
+    r = random.Random(seed)
+    return ["".join(r.choice(ODD) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+def rows_of(df, key="doc_id"):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def table(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+# Tokenizers
+
+
+def test_pretokens_match_the_expression():
+    for split, pattern in ((pretoken.Pretokenizer(True, False), P.PATTERN), (pretoken.Pretokenizer(False, True), r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")):
+        texts = odd_texts(400) + ["x" * 1000, " " * 700, "ab'll " * 300]
+        want = [regex.findall(pattern, t) for t in texts]
+        pieces, n = split.split(texts)
+        assert pieces == sum(want, []) and n.tolist() == [len(w) for w in want]
+
+
+def test_transducer_equals_merging():
+    merges = bpe_fst.Merges.from_ranks(RANKS)
+    few = bpe_fst.Transducer(merges, max_states=50)  # beyond these the guesses are followed
+    many = bpe_fst.Transducer(merges)
+    r = random.Random(3)
+    for _ in range(400):
+        data = "".join(r.choice("aeinst hlr.é日") for _ in range(r.randint(1, 40))).encode()
+        want = tuple(merges.ids[t] for t in merges.apply(data))
+        assert few.run(data) == many.run(data) == want and few.count(data) == many.count(data) == len(want)
+    assert len(few.states) <= 50
+
+
+def test_round_trip(docs, table, nothing):
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_fst.Merges.from_ranks(RANKS).ids, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, t in table:
+        ids = enc.encode_ordinary(t or "")
+        want.append((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
+    assert rows_of(byte_bpe.round_trip(docs, RANKS)) == sorted(want, key=repr)
+    assert byte_bpe.round_trip(nothing, RANKS).count() == 0
+    back = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS)
+    assert rows_of(back) == sorted(((i, t or "") for i, t in table), key=repr)
+
+
+def test_incremental_utf8():
+    for data in ("é日😀a\x00ü".encode() * 5, b"\xff\xe6\x97a\xc0\x80\xed\xa0\x80\xf4\x90\x80\x80\xf0\x9f"):
+        for step in range(1, 8):
+            m = byte_bpe.Utf8Machine()
+            assert "".join(m.feed(data[i : i + step]) for i in range(0, len(data), step)) + m.finish() == data.decode("utf-8", "replace")
+
+
+def test_token_counts(docs, table, nothing):
+    library = Tokenizer.from_file(JSON)
+    want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in table]
+    assert rows_of(token_counts.count_tokens(docs, JSON, 1024)) == sorted(want, key=repr)
+    assert token_counts.count_tokens(nothing, JSON, 1024).count() == 0
+    texts = odd_texts(500, 2)
+    assert token_counts.counter(JSON).counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_word_ids():
+    library, texts = Tokenizer.from_file(WORDS), odd_texts(800, 4)
+    small = word_ids.WordIds(WORDS, memo_limit=3)
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts[:400]) + small.encode(texts[400:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+# Packing
+
+
+def test_best_two_fit():
+    r = random.Random(1)
+    for n in (0, 1, 2, 7, 500):
+        lengths = [r.choice([100, 60, r.randint(1, 100)]) for _ in range(n)]
+        bins = packing.best_two_fit(lengths, 100)
+        assert sorted(sum(bins, [])) == list(range(n)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
+    # 60 and 20 fill greedily to 80; the 20 makes room for 23 and 17.
+    assert sorted(sorted([60, 23, 17, 22, 21][i] for i in b) for b in packing.best_two_fit([60, 23, 17, 22, 21], 100)) == [[17, 23, 60], [21, 22]]
+
+
+def test_packing(docs, table, nothing):
+    library, size = Tokenizer.from_file(WORDS), 256
+    want = Counter()
+    for i, t in table:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), size)):
+            part = ids[a : a + size]
+            want[i, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    got = packing.pack(docs, WORDS, size=size, group=40).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= size
+    assert len(bins) <= sum(r.length for r in got) / size * 1.05 + 10
+    assert packing.pack(nothing, WORDS).count() == 0
+
+
+# Quality, language, licences
+
+
+def test_quality(spark, docs, table, nothing):
+    labels = spark.createDataFrame([(i, i % 4 > 0, 0) for i in range(40)] + [(None, True, 0), (3, None, 1), (900, True, 0)], "doc_id long, good boolean, toxic int").select("doc_id", F.col("good").cast("int").alias("quality"), "toxic")
+    want = []
+    for i, t in table:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        triples = Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {k + d for k in range(len(w) - 2) if triples[w[k], w[k + 1], w[k + 2]] > 1 for d in range(3)}
+        lines, seen = 0, set()
+        for x in (t or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", x):
+                lines += x in seen
+                seen.add(x)
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), lines, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)))
+    out = quality.rules(docs, labels)
+    assert rows_of(out.select("doc_id", *quality.BASE, "base_failed")) == sorted(want, key=repr)
+    assert out.where("base_failed and kept").count() == 0 and out.where("score is null or kept is null").count() == 0
+    assert quality.rules(nothing, labels).count() == 0 and quality.rules(docs, labels.limit(0)).where("not base_failed and not kept").count() == 0
+
+
+def test_trees_learn_and_stay_monotone():
+    r = np.random.default_rng(0)
+    x = r.random((2000, len(quality.FEATURES)))
+    at = quality.FEATURES.index("symbol_share")
+    y = (x[:, at] + 0.3 * x[:, 0] < 0.6).astype(float)
+    trees = quality.boost(x, y)
+    assert ((trees.score(x) > 0.5) == y).mean() > 0.93
+    grid = np.repeat(x[:50], 30, axis=0)
+    grid[:, at] = np.tile(np.linspace(0, 1, 30), 50)
+    assert (np.diff(trees.score(grid).reshape(50, 30), axis=1) <= 1e-12).all()
+
+
+def test_repeated_words_with_many_words():
+    ids = np.array([1 << 22, 5, 6, 1 << 22, 5, 6, 9])
+    assert quality.repeated_words(ids) == 6 == quality.repeated_words(np.array([1, 5, 6, 1, 5, 6, 9]))
+
+
+def test_language(docs, nothing):
+    out = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert all(out[i].lang_pred == ("fr" if i % 3 == 0 else "en") for i in range(40))
+    assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(53))
+    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (44, 45, 46, 47)) and out[None].held_out
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert language_id.identify(nothing).count() == 0
+
+
+def test_context_trees_are_distributions_and_exact():
+    counts = Counter()
+    text = b"abracadabra"
+    for k in range(1, 5):
+        counts.update(text[i : i + k] for i in range(len(text) - k + 1))
+    trees = language_id.ContextTrees.from_counts(["x"], [dict(counts)], 100_000)
+    p = 2.0 ** -trees.bits.reshape(-1, trees.size).astype(float)
+    unseen = 256 - (trees.size - 1)
+    assert np.allclose(p[:, 1:].sum(1) + p[:, 0] * unseen, 1, atol=1e-5)
+
+    def code(s):  # order by order, as the model is defined
+        total = 0.0
+        for i, b in enumerate(s):
+            q = {c: 1 / 256 for c in range(256)}
+            for k in range(4):
+                if k > i:
+                    break
+                context = s[i - k : i]
+                here = {c: counts[context + bytes([c])] for c in range(256) if counts[context + bytes([c])]}
+                if not here:
+                    continue
+                n = sum(here.values()) + len(here)
+                rest = sum(v for c, v in q.items() if c not in here)
+                q = {c: here[c] / n if c in here else q[c] / rest * len(here) / n for c in range(256)}
+            total -= np.log2(q[b])
+        return total
+
+    texts = [b"abra", b"cadz", b"q", b"aaaa"]
+    assert np.allclose(trees.code_lengths(texts)[:, 0], [code(t) for t in texts], rtol=1e-5)
+
+
+def test_licenses(docs, table, nothing):
+    want = []
+    for i, t in table:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        starts = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in starts]
+        want.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in starts}))))
+    out = licenses.scan(docs)
+    assert rows_of(out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) == sorted(want, key=repr)
+    assert out.where("doc_id = 52").first().labels == "cc-by,cc-by-nc-4.0,gpl,gpl-3.0,reserved"
+    assert licenses.scan(nothing).count() == 0
+
+
+def test_every_notice_is_found():
+    index = licenses.Index.build({}, 10)
+    for label, notice, phrases in licenses.TEMPLATES:
+        text = f"Some words of a file here. {notice} And the rest."
+        if all(any(f" {a} " in f" {notice} " for a in p.split("|")) for p in phrases):
+            assert label in index.scan(text)[5].split(","), notice
+    assert index.scan("license of the under version 2 0 general")[5] == ""
+
+
+# Near duplicates
+
+
+def brute_components(table):
+    sets = defaultdict(set)
+    for i, t in table:
+        w = (t or "").encode().lower().split()
+        sets[i, t] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    keys = [k for k in sets if k[0] is not None]
+    root = {i: i for i, _ in keys}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in keys:
+        for b in keys:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = top(a[0]), top(b[0])
+                root[max(x, y)] = min(x, y)
+    return sorted(((i, len(sets[i, t]), None if i is None else top(i), i is None or top(i) == i) for i, t in table), key=repr)
+
+
+def test_near_duplicates(docs, table, nothing):
+    assert rows_of(near_dedup.near_duplicates(docs)) == brute_components(table)
+    assert near_dedup.near_duplicates(nothing).count() == 0
+
+
+def test_near_duplicates_around_a_hub_and_in_chains(spark):
+    """Copies with so many edits that they link only with the original or their neighbours."""
+    r = random.Random(9)
+    base = [r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(150)]
+    rows = []
+    for i in range(60):
+        t = base[:]
+        for _ in range(r.randint(1, 6)):
+            t[r.randrange(150)] = f"x{r.random()}"
+        rows.append((100 + i, " ".join(t)))
+    rows.append((500, " ".join(base)))
+    chain = base[:]
+    for i in range(30):
+        chain = chain[:]
+        chain[(i * 5) % 150] = f"y{i}"
+        rows.append((600 + i, " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(near_dedup.near_duplicates(df)) == brute_components(rows)
+
+
+def test_super_minhash_estimates_similarity():
+    r = np.random.default_rng(2)
+    common = r.integers(0, 1 << 63, 300).astype(np.uint64)
+    for extra in (0, 50, 150):
+        a, b = (np.unique(np.concatenate([common, r.integers(0, 1 << 63, extra).astype(np.uint64)])) for _ in range(2))
+        s = near_dedup.super_minhash([a, b, a[:3], b[:1]])
+        assert abs((s[0] == s[1]).mean() - 300 / (300 + 2 * extra)) < 0.12
+    alone = near_dedup.super_minhash([a])
+    assert (alone[0] == s[0]).all()  # a set's signature doesn't depend on those beside it
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (None, 3)]
+    out = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").distinct().collect())
+    assert out == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 150: 150, 200: 150}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+# Neighbours
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(600, 16))
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    rows[7] = (7, rows[100][1])
+    rows[8] = (8, rows[100][1])
+    rows += [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, [None] * 16), (None, rows[0][1]), (604, []), (605, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    out = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    e = np.array([x for _, x in rows[:600]], np.float32).astype(float)
+    n = np.sqrt((e * e).sum(1))
+    found = hit = 0
+    got = defaultdict(list)
+    for x in out:
+        got[x.query_id].append((x["rank"], x.vec_id, x.score))
+    assert sorted(got) == list(range(0, 600, 50))
+    for q, found_rows in got.items():
+        c = e @ e[q] / (n * n[q])
+        c[q] = -9
+        order = np.lexsort((np.arange(600), -c))[:5]
+        found_rows.sort()
+        assert [k for k, _, _ in found_rows] == [1, 2, 3, 4, 5]
+        assert [(-s, i) for _, i, s in found_rows] == sorted((-s, i) for _, i, s in found_rows)
+        assert all(abs(s - c[i]) < 1e-12 for _, i, s in found_rows)
+        hit += len({i for _, i, _ in found_rows} & set(order.tolist()))
+        found += 5
+    assert hit / found >= 0.9
+    assert [i for _, i, _ in got[100]][:2] == [7, 8]
+    few = neighbours.nearest(df.where("vec_id < 3 or vec_id > 599"), F.col("vec_id") == 0)
+    assert few.count() == 2 and neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
+    assert neighbours.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_probes_come_in_order_of_success():
+    h = neighbours.Hashing.make(8, 100)
+    place = h.places(neighbours.units(np.random.default_rng(1).normal(size=(1, 8))))[0, 0]
+    visits = neighbours.replace(h, probes=60).visits(place)
+    inside = place - np.floor(place)
+    cost = [sum(inside[i] ** 2 if d < 0 else (1 - inside[i]) ** 2 for i, d in enumerate(v - np.floor(place)) if d) for v in visits]
+    assert len({tuple(v) for v in visits}) == 60 and np.allclose(cost, sorted(cost))
+
+
+# Chats
+
+
+def test_chats(spark):
+    def talk(c, *texts, first=0):
+        return [(c, first + i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
+
+    rows = talk(1, "a", "b", "c") + talk(2, "a", "b") + talk(3, "a", "b", "c") + talk(4, "a", "x") + talk(5, "b") + talk(6, "a", first=5) + talk(7, None, "y") + talk(8, "", "y", "z")
+    rows += [(9, 0, None, "n"), (9, None, "user", "first"), (9, 0, None, "n"), (None, 0, "user", "lost")] + talk(10, *map(str, range(150)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit(1))
+    out = chat.format_chats(df).orderBy("conv_id", "segment").collect()
+    assert [(r.conv_id, r.segment, r.n_turns) for r in out] == [(1, 0, 3), (4, 0, 2), (5, 0, 1), (8, 0, 3), (9, 0, 2), (10, 0, 150), (10, 1, 150), (10, 2, 150)]
+    assert out[1].rendered == "<|user|>\na<|end|>\n<|assistant|>\nx<|end|>\n"
+    assert out[4].rendered == "<|user|>\nfirst<|end|>\n<||>\nn<|end|>\n"
+    assert "".join(r.rendered for r in out[5:]).count("<|end|>") == 150
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# Personal data
+
+
+def pii_docs(spark):
+    texts = [
+        "mail a.b42@mail3.example.com and A.B42@MAIL3.EXAMPLE.COM, a.b43@mail3.example.com!", "ip 10.0.0.1, 255.255.255.255. and 1.2.3.4", "+1 (771) 555-1655 and +1 771 555 1655 but not 12",
+        "card 4465758382889437 4465 7583 8288 9437 and 4111 1111 1111 1111", 'token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" F33E61083DB5DBDF4BD2369D2F80176E57F7FDA2',
+        "Dr. Maria Schmidt met Mrs. Schmidt, MR. JONES and Mr Jones; Г-н Иван Петров", None, "", "no 3.5 entities 1.2.3 at 12-34 @home", "ssn 123-45-6789",
+    ]
+    return spark.createDataFrame([(i, t, i) for i, t in enumerate([*texts, texts[0], "x" * 200_000])], "doc_id long, text string, _new int")
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10
+
+
+def test_pii(spark):
+    df = pii_docs(spark)
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    t = {i: r.text for i, r in out.items()}
+    assert t[6] is None and t[7] == "" and t[8] == "no 3.5 entities 1.2.3 at 12-34 @home" and t[11] == "x" * 200_000
+    assert t[10] == t[0] and [out[i].n_entities for i in range(10)] == [3, 3, 2, 3, 2, 5, 0, 0, 0, 1] and out[3]["_new"] == 3
+    a, b, c = re.findall(r"\S+@[\w.]+\w", t[0])
+    assert a.upper() == b and a != c and re.fullmatch(r"[a-z]\.[a-z]\d\d@[a-z]{4}\d\.[a-z]{7}\.com", a)
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", t[1])
+    assert len(set(ips)) == 3 and all(int(x) < 256 for i in ips for x in i.split(".")) and not {"10.0.0.1", "1.2.3.4"} & set(ips)
+    p, q = re.findall(r"\+1[ ()\d-]+\d", t[2].replace(" but not 12", ""))[0].split(" and ") if " and " in t[2].split("+1", 1)[0] else t[2].replace(" but not 12", "").split(" and ")
+    assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) != "17715551655" and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p)
+    cards = re.findall(r"4\d{3} ?\d{4} ?\d{4} ?\d{4}", t[3])
+    assert len(cards) == 3 and cards[0] == cards[1].replace(" ", "") and luhn(cards[2].replace(" ", "")) == 0 and luhn(cards[0]) == luhn("4465758382889437")
+    x, y = re.findall(r"[0-9a-fA-F]{40}", t[4])
+    assert x.upper() == y and x != "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    names = re.fullmatch(r"Dr\. (\S+) (\S+) met Mrs\. (\S+), MR\. (\S+) and Mr (\S+); Г-н (\S+) (\S+)", t[5])
+    assert names and names[2] == names[3] and names[4] == names[5].upper() and re.fullmatch("[а-яА-ЯёЁ]+", names[6] + names[7])
+    assert {r.text for r in pii.pseudonymise(df, "other").collect()} != {r.text for r in out.values()}
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_pii_is_injective_and_redraws_coinciding_names(spark):
+    ip = [f"{i % 256}.{i // 256}.7.9" for i in range(3000)]
+    family = sorted({a + b + c for a in ("Mor", "Hal", "Ber", "Tan", "Wil") for b in ("ka", "lo", "mi", "ne", "ru", "so", "ty", "va") for c in ("son", "man", "ter", "berg", "stein", "ford", "wick", "by", "field", "dale", "ton", "ham")} | {"Dalnormer", "Barberber"})
+    assert len(family) > 300
+    df = spark.createDataFrame([(0, " ".join(ip))] + [(i + 1, f"Mr {n}") for i, n in enumerate(family)], "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    assert len(set(out[0].split())) == 3000
+    new = [t.split()[1] for t in out[1:]]
+    assert len(set(new)) == len(family) and not {n.lower() for n in new} & {n.lower() for n in family}
+    assert pii.later_draws(df, "text", "k").count() > 0
+
+
+# Queries
+
+
+def test_queries_are_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
