@@ -4,8 +4,9 @@ A token sequence is what the merges give exactly if every pair of neighbours re-
 the nondeterministic machine guesses tokens along the vocabulary's trie and admits a token only after
 one it is compatible with. Determinising it on demand gives states that hold a few guesses, each with
 the tokens it has not yet agreed on with the others; a token is emitted as soon as all guesses agree
-on it, which is bounded by the longest vocabulary entry. States and arcs are made when first used and
-all dropped when there are too many of them.
+on it, which is bounded by the longest vocabulary entry. States and arcs are made when first used;
+once there are as many states as memory is set aside for, what leads beyond them follows the guesses
+themselves.
 """
 
 from __future__ import annotations
@@ -102,10 +103,10 @@ class Transducer:
     """run(data): ids of one pre-token. count(data): their number, from the arcs' emitted counts.
 
     A guess is (last agreed token and those after it, trie node of the bytes since); a state is a
-    tuple of guesses. Both memos, of states and of whole pre-tokens, are emptied when full.
+    tuple of guesses. There are at most max_states states.
     """
 
-    def __init__(self, merges: Merges, max_states: int = 300_000):
+    def __init__(self, merges: Merges, max_states: int = 60_000):
         self.merges, self.max_states = merges, max_states
         self.child: dict[int, int] = {}  # trie node << 8 | byte: node
         self.token_at: dict[int, int] = {}  # trie node: token that ends there
@@ -117,12 +118,8 @@ class Transducer:
             self.token_at[node] = i
         self.spines: dict[int, tuple] = {}
         self.fits: dict[int, bool] = {}
-        gc.disable()  # millions of small long-lived objects; what is dropped is collected in _reset
-        self._reset()
-
-    def _reset(self) -> None:
+        gc.disable()  # millions of small long-lived objects without cycles to free
         self.states: dict[tuple, _State] = {}
-        gc.collect()
         self.start = _State((((-1,), 0),), ())
 
     def _spine(self, token: int) -> tuple:
@@ -153,7 +150,7 @@ class Transducer:
         key = a << 24 | b
         if (ok := self.fits.get(key)) is not None:
             return ok
-        if len(self.fits) > 2 * self.max_states:
+        if len(self.fits) > 1_000_000:
             self.fits.clear()
         rank = self.merges.rank
         left, right = self._spine(a)[1], self._spine(b)[0]
@@ -206,21 +203,45 @@ class Transducer:
         state.arcs[byte] = arc = (to, emitted, len(emitted))
         return arc
 
+    def _simulate(self, guesses: tuple, data: bytes) -> tuple[int, ...]:
+        """Ids after those already emitted, following the guesses themselves without keeping states."""
+        child, token_at, fits = self.child.get, self.token_at.get, self.fits.get
+        for byte in data:
+            out, ended = [], None
+            for tokens, node in guesses:
+                grown = child(node << 8 | byte)
+                if grown is None:
+                    continue
+                out.append((tokens, grown))
+                if ended is None and (token := token_at(grown)) is not None:
+                    last = tokens[-1]
+                    ok = fits(last << 24 | token)
+                    if self._compatible(last, token) if ok is None else ok:
+                        ended = ((*tokens, token), 0)
+            if ended is not None:
+                out.append(ended)
+            guesses = out
+        return next((tokens[1:] for tokens, node in guesses if node == 0), ())
+
     def run(self, data: bytes) -> tuple[int, ...]:
-        if len(self.states) > self.max_states:
-            self._reset()
         state, ids = self.start, ()
-        for byte in data:
-            state, emitted, _ = state.arcs.get(byte) or self._arc(state, byte)
+        for at, byte in enumerate(data):
+            if (arc := state.arcs.get(byte)) is None:
+                if len(self.states) >= self.max_states:
+                    return ids + self._simulate(state.guesses, data[at:])
+                arc = self._arc(state, byte)
+            state, emitted, _ = arc
             if emitted:
                 ids += emitted
         return ids + state.tail
 
     def count(self, data: bytes) -> int:
-        if len(self.states) > self.max_states:
-            self._reset()
         state, n = self.start, 0
-        for byte in data:
-            state, _, weight = state.arcs.get(byte) or self._arc(state, byte)
+        for at, byte in enumerate(data):
+            if (arc := state.arcs.get(byte)) is None:
+                if len(self.states) >= self.max_states:
+                    return n + len(self._simulate(state.guesses, data[at:]))
+                arc = self._arc(state, byte)
+            state, _, weight = arc
             n += weight
         return n + len(state.tail)
