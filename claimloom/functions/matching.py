@@ -90,7 +90,7 @@ def _pattern(quote: str) -> regex.Pattern | None:
     printed = r"\s*\[\s*(?:\.\s*\.\s*\.|…)\s*\]\s*"
     body = f"(?:{line_gap}|{printed})".join(parts)
     # The whole quote starts and ends where words and numbers of the page do.
-    start = r"(?<![^\W_])(?<!\d[.,](?=\d))(?<![^\W_]-\s*(?=[^\W_]))" if fold_text(text)[:1].isalnum() else ""
+    start = r"(?<![^\W_])(?<!\d[.,](?=\d))" if fold_text(text)[:1].isalnum() else ""
     end = rf"(?:(?={ON})|(?![^\W_])(?![.,]\d)(?!-\s*[^\W_]))" if fold_text(text)[-1:].isalnum() else ""
     if fold_text(text)[-1:] in ".,":
         end = r"(?<!\d[.,](?=\d))"

@@ -17,7 +17,7 @@ RECORD = {
     ],
     "excluded": [
         {"id": "E1", "quote": "We collected 1,203 builds from 48 projects.", "page": 2, "section": "4.2", "reason": "Describes the data."},
-        {"id": "E2", "quote": "As shown, caching cut median build time.", "page": "2-3", "section": "6", "duplicate_of": ["R1", "C1"], "reason": "Repeats R1."},
+        {"id": "E2", "quote": "As shown, caching cut median build time.", "page": "2-3", "section": "6", "duplicate_of": ["R1", "C1"], "reason": "Repeats the result of R1."},
     ],
 }
 TEXT = f"""=== paper caching.pdf sha256:{"a" * 64} ===
@@ -126,3 +126,73 @@ def test_valid(problems):
 @pytest.mark.parametrize("rule", [*[c for c in CASES if c], "V-05", "V-08", "V-12", "V-21"])
 def test_rule(problems, rule):
     assert rule in problems[rule], problems[rule]
+
+
+ADVISORIES = {
+    "A-01": put(["paper", "title"], "Another Paper Entirely"),
+    "A-06": put(["excluded", 0, "reason"], "Describes the data and would not change R7."),
+    "A-12": put(["claims", 0, "selection_reason"], "It says that caching halves the build time."),
+    "A-13": put(["claims", 0, "selection_reason"], "R1 needs it."),
+    "A-14": put(["excluded", 0, "reason"], "There is no main result that depends on it."),
+    "A-15": put(["excluded", 0, "reason"], "Important result."),
+    "A-16": put(["excluded", 1, "duplicate_of"], ["C1"]),
+    "A-20": put(["main_results", 0, "section"], "5 Summary RQ1"),
+    "A-21": put(["excluded", 0, "note"], "Table 2 prints the parts of the sentence's 1,203: 700 and 502."),
+    "A-22": put(["excluded", 0, "section"], "s" * 101),
+    "A-23": put(["excluded", 1, "quote"], "We collected 1,203 builds from 48 projects. Across the 48 projects, median build time fell"),
+    "A-27": lambda r: [put(["claims", i, "quote"], S1.replace("fell", "fell by more than half"))(r) for i in (0, 1)],
+    "A-29": lambda r: [put(["claims", i, "quote"], S1.replace("stayed", "did not move"))(r) for i in (0, 1)],
+    "A-30": lambda r: [put(["main_results", 0, "quote"], "Caching is faster without failures.")(r), put(["main_results", 0, "states"], "Caching is without failures.")(r)],
+    "A-31": lambda r: [put(["main_results", 0, "quote"], "From 9 to 4 it fell.")(r), put(["main_results", 0, "states"], "4 from 9 it fell.")(r)],
+    "A-32": lambda r: [put(["main_results", 0, "quote"], "It did not reduce time.")(r), put(["main_results", 0, "states"], "It did reduce time.")(r)],
+    "A-08": lambda r: [put(["excluded", 0, "quote"], "out increasing build failures.")(r), put(["excluded", 0, "page"], 1)(r)],
+    "A-11": put(["excluded", 0, "quote"], "We collected 1,203 builds"),
+    "A-09": put(["excluded", 0, "quote"], "1,203 builds from 48 projects."),
+    "A-17": lambda r: [r["main_results"].append({**r["main_results"][0], "id": "R2"}), r["claims"][0]["serves"].append("R2")],
+    "A-18": lambda r: [r["main_results"].append({**r["main_results"][0], "id": "R2"}), [c["serves"].append("R2") for c in r["claims"]]],
+    "A-24": put(["excluded", 1, "quote"], "We collected 1,203 builds from 48 projects."),
+}
+
+
+@pytest.fixture(scope="module")
+def advice(spark):
+    from claimloom.plans.advise import advise
+
+    rows = []
+    for rule, edit in {"valid": lambda r: None, **ADVISORIES}.items():
+        r = copy.deepcopy(RECORD)
+        edit(r)
+        rows.append((rule, json.dumps(r)))
+    texts = [(k, TEXT.replace("Abstract.", "Remote Build Caching\nAbstract.")) for k, _ in rows] + [("A-04", TEXT.split("\n", 1)[1])]
+    rows.append(("A-04", json.dumps(RECORD)))
+    by = {k: {} for k, _ in rows}
+    for p in advise(spark.createDataFrame(rows, "paper_key string, raw string"), spark.createDataFrame(texts, "paper_key string, text string")).collect():
+        by[p.paper_key].setdefault(p.rule, []).append((p.label, p.message))
+    return by
+
+
+def test_no_advice(advice):
+    assert advice["valid"] == {}
+
+
+@pytest.mark.parametrize("rule", [*ADVISORIES, "A-04"])
+def test_advice(advice, rule):
+    assert rule in advice[rule], advice[rule]
+
+
+def test_record_model(spark):
+    from claimloom.operators import record_model as G
+    from claimloom.sources import records as R
+
+    r = copy.deepcopy(RECORD)
+    r["main_results"].append({**r["main_results"][0], "id": "R2", "source": "conclusion"})
+    r["claims"][0]["serves"] = ["R1", "R2"]
+    r["excluded"].append({**r["excluded"][1], "id": "E3", "duplicate_of": ["R2", "R1"]})
+    e = R.entries(R.parse(spark.createDataFrame([("p", json.dumps(r))], "paper_key string, raw string")))
+    assert {(x.group, x.result) for x in G.one_result(e).collect()} == {("R1", "R1"), ("R2", "R2")}
+    assert {x.group: (x.stated_in, x.shared) for x in G.weights(e).collect()} == {"R1": (3, 1), "R2": (2, 1)}
+    assert [x.id for x in G.by_weight(e).orderBy("place").collect()] == ["R1", "R2"]
+    assert {x.claim: (x.group, x.others) for x in G.homes(e).collect()} == {"C1": ("R1", 1), "C2": ("R1", 0)}
+    assert G.overview(e).first().stated_in == 4 and G.unsettled(e).count() == 0
+    assert {(x.target, x.rel): list(x.sources) for x in G.reverse_edges(e).collect()}[("R1", "serves")] == ["C1", "C2"]
+    assert R.schema()["properties"]["claims"]["items"]["required"] == sorted(R.FIELDS["claims"][0])
