@@ -196,3 +196,23 @@ def test_record_model(spark):
     assert G.overview(e).first().stated_in == 4 and G.unsettled(e).count() == 0
     assert {(x.target, x.rel): list(x.sources) for x in G.reverse_edges(e).collect()}[("R1", "serves")] == ["C1", "C2"]
     assert R.schema()["properties"]["claims"]["items"]["required"] == sorted(R.FIELDS["claims"][0])
+
+
+def test_markdown(spark):
+    from claimloom.plans.render import markdown
+
+    r = copy.deepcopy(RECORD)
+    r["claims"][1]["note"] = "Table 4 gives 4.1%."
+    r["paper"]["doi"] = "10.1145/1083142"
+    df = spark.createDataFrame([("p", json.dumps(r)), ("q", json.dumps({**r, "main_results": [], "claims": [], "excluded": []}))], "paper_key string, raw string")
+    out = {x.paper_key: x.markdown for x in markdown(df).collect()}
+    lines = out["p"].split("\n")
+    assert lines[0] == "# Claims: Remote Build Caching" and lines[2].endswith("1 main results, 2 claims, 2 excluded claim candidates.")
+    assert "Paper `caching` (3 pages, `caching.pdf`, DOI [`10.1145/1083142`](https://doi.org/10.1145/1083142)): " in lines[2]
+    assert [x for x in lines if x.startswith("#")] == [
+        "# Claims: Remote Build Caching", "## Main results", "### R1: abstract, page 1", "## Claims",
+        "### R1 (abstract, stated in 2 places): " + r["main_results"][0]["quote"], "### Every claim", "#### C1: page 2, 5.1", "#### C2: page 2, 5.1",
+        "## Excluded claim candidates", "### E1: page 2, 4.2", "### E2: page 2-3, 6",
+    ]
+    assert "- C1, page 2, 1 of 2 for this result" in lines and "- Split from S1, with C2" in lines and "- Repeats: R1, C1" in lines and "- Note: Table 4 gives 4.1%." in lines
+    assert "None recorded." in out["q"] and "None selected." in out["q"] and "### Every claim" not in out["q"]
