@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import gaps as GAPS
 from ..functions import matching as M
 from ..functions import text as X
 from ..sources import records as R
@@ -233,7 +234,7 @@ def sentence_rules(entries: DataFrame) -> DataFrame:
 
 
 def quote_rules(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """V-43 and V-47 to V-51: whether each quote stands where its entry says, and if not, where it does.
+    """V-43 to V-51: whether each quote stands where its entry says, and if not, where it does.
 
     The page that is named is searched first; only quotes that are not there meet all their paper's pages.
     """
@@ -247,6 +248,14 @@ def quote_rules(entries: DataFrame, pages: DataFrame) -> DataFrame:
     alone = each_page.groupBy("paper_key", "rank", "pos", "label").agg(F.min("page").alias("page"))
     out.append(collect(alone, [when("V-47", F.lit(True), F.concat("label", F.lit(".page")), F.concat(F.lit("the quote is on page "), "page", F.lit(" alone")))], place=["rank", "pos"]))
 
+    gapped = rows.where(F.col("page_text").isNotNull() & F.col("quote").rlike(r"\[(?:\.\.\.|…)\]")).withColumn("gap", GAPS.gap_verdict("quote", "page_text"))
+    at = F.concat("label", F.lit(".quote"))
+    out.append(collect(gapped, [
+        when("V-44", F.col("gap.heading").isNotNull(), at, F.concat(F.lit("a gap skips the heading "), "gap.heading")),
+        when("V-45", F.col("gap.heading").isNull() & F.col("gap.two_rows"), at, "starts in one row of a table and ends in another"),
+        when("V-46", F.col("gap.heading").isNull() & ~F.col("gap.two_rows") & F.col("gap.prose").isNotNull(), at, F.concat(F.lit("a gap skips running text: "), "gap.prose")),
+    ], place=["rank", "pos"]))
+
     lost = asked.where("not on")
     key = ["paper_key", "rank", "pos", "label", "page_raw"]
     singles = pages.select("paper_key", F.lit(0).alias("wide"), "page", F.col("page").cast("string").alias("name"), "text")

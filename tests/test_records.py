@@ -154,6 +154,26 @@ ADVISORIES = {
 }
 
 
+GAPS = {
+    "V-44": "The rate of it\n5.2 Other Things\nstayed the same.",
+    "V-45": "alpha   12   13   the rate\nmore of a row\nbeta   14   15   stayed the same.",
+    "V-46": "The rate of it\nwas seen by all of them to grow here\nand also in the other places we saw\nstayed the same.",
+    "": "The rate of it\nFig. 3. A caption that runs on for\nanother line here.\n4 See https://example.org/a\nstayed the same.",
+}
+
+
+def test_gaps(spark):
+    quote = {"V-45": "the rate [...] beta 14 15 stayed the same."}
+    rows, texts = [], []
+    for rule, body in GAPS.items():
+        r = copy.deepcopy(RECORD)
+        r["excluded"][0] |= {"quote": quote.get(rule, "The rate of it [...] stayed the same."), "page": 1}
+        rows.append((rule, json.dumps(r)))
+        texts.append((rule, TEXT.replace("=== page 2", body + "\n=== page 2")))
+    out = validate(spark.createDataFrame(rows, "paper_key string, raw string"), spark.createDataFrame(texts, "paper_key string, text string")).collect()
+    assert sorted((p.paper_key, p.rule) for p in out) == [("V-44", "V-44"), ("V-45", "V-45"), ("V-46", "V-46")], out
+
+
 @pytest.fixture(scope="module")
 def advice(spark):
     from claimloom.plans.advise import advise
