@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stance import left_standing
 from ..sources.records import LISTS
 
 # The order of sources where results are stated equally often.
@@ -111,3 +112,41 @@ def unsettled(entries: DataFrame) -> DataFrame:
 def collisions(papers: DataFrame, column: str = "paper_id") -> DataFrame:
     """Ids that differ only in case, with how many records use each."""
     return papers.groupBy(F.lower(column).alias("folded")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("paper_key")).alias("records")).where("n > 1")
+
+
+def candidates(entries: DataFrame) -> DataFrame:
+    """(paper_key, id, pos, bucket, weighed): each excluded candidate with the results it is weighed against
+    and its bucket: repeat, breakdown, part, standing or other, whichever comes first."""
+    known = results(entries).groupBy("paper_key").agg(F.collect_set("id").alias("known"))
+    rows = entries.where("list = 'excluded'").join(known, "paper_key", "left")
+    none = F.array().cast("array<string>")
+    repeats, breaks = F.coalesce("duplicate_of", none), F.coalesce("breaks_down", none)
+    standing = F.array_intersect(left_standing(F.coalesce("reason", F.lit(""))), F.coalesce("known", none))
+    bucket = (
+        F.when(F.size(repeats) > 0, "repeat").when(F.size(breaks) > 0, "breakdown").when(F.col("split_from").isNotNull(), "part")
+        .when(F.size(F.array_except(F.array_except(standing, repeats), breaks)) > 0, "standing").otherwise("other")
+    )
+    return rows.select("paper_key", "id", "pos", bucket.alias("bucket"), F.array_sort(F.array_union(F.array_union(repeats, breaks), standing)).alias("weighed"))
+
+
+def considered(entries: DataFrame) -> DataFrame:
+    """(paper_key, result, candidates): the excluded candidates weighed against each result, in order."""
+    each = candidates(entries).select("paper_key", "id", "pos", F.explode("weighed").alias("result"))
+    known = results(entries).select("paper_key", F.col("id").alias("result"))
+    return each.join(known, ["paper_key", "result"], "left_semi").groupBy("paper_key", "result").agg(F.array_sort(F.collect_list(F.struct("pos", "id")))["id"].alias("candidates"))
+
+
+def matching(entries: DataFrame, term: str = "", with_note: bool = False, on_table: bool = False) -> DataFrame:
+    """Entries whose text holds the term, whatever its case, and that have a note or stand at a table or
+    figure where these are asked for."""
+    text = F.lower(F.concat_ws(" ", "id", "quote", "states", "section", "reason", "selection_reason", "note"))
+    rows = entries.where(F.contains(text, F.lit(term.lower())))
+    if with_note:
+        rows = rows.where(F.coalesce(F.col("note"), F.lit("")) != "")
+    return rows.where(F.col("section").rlike(r"(?i)\b(?:table|fig\.?|figure)\s*[\dIVXLC]+")) if on_table else rows
+
+
+def related(entries: DataFrame, entry: str) -> DataFrame:
+    """(paper_key, id) of the results a claim serves, or the claims that serve a result, in each record."""
+    s = served(entries)
+    return s.where(F.col("claim") == entry).select("paper_key", F.col("result").alias("id")).unionByName(s.where(F.col("result") == entry).select("paper_key", F.col("claim").alias("id")))

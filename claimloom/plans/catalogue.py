@@ -231,7 +231,7 @@ def rule_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(keyed.join(again, "k", "left_semi").select("doc_id", F.lit("repeated").alias("rule"), F.lit(2).alias("ord")))
 
 
-@query(None)
+@query(r"SELECT conv_id, turn, true AS forward, list_position(w, w[-1]) < len(w) + 1 - list_position(list_reverse(w), w[1]) AS backward FROM (SELECT conv_id, turn, regexp_extract_all(lower(replace(text, '-', ' ')), '[\p{L}\p{N}]+(?:[.,][0-9]+)*') AS w FROM conversations WHERE text IS NOT NULL) WHERE len(w) > 1")
 def subsequence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a turn's first and last words stand in its order of words (always), and in reverse."""
     w = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", X.words(F.col("text")).alias("w")).where("size(w) > 1")
@@ -290,6 +290,13 @@ def html_title_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
+@query("WITH c AS (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) SELECT roles, count(*) AS conversations, sum(n) AS turns FROM c GROUP BY roles")
+def ordered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of one parent in order as one value, and parents grouped by it."""
+    one = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", "role")))["role"], ",").alias("roles"))
+    return one.groupBy("roles").agg(F.count("*").alias("conversations"), F.sum("n").alias("turns"))
+
+
 @query("SELECT lower(source) AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def id_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy(F.lower("source").alias("id")).agg(F.count("*").alias("n")).where("n > 1")

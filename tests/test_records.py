@@ -236,3 +236,36 @@ def test_markdown(spark):
     ]
     assert "- C1, page 2, 1 of 2 for this result" in lines and "- Split from S1, with C2" in lines and "- Repeats: R1, C1" in lines and "- Note: Table 4 gives 4.1%." in lines
     assert "None recorded." in out["q"] and "None selected." in out["q"] and "### Every claim" not in out["q"]
+
+
+def test_stance(spark):
+    from claimloom.functions import stance as S
+    from pyspark.sql import functions as F
+
+    said = {
+        "R2 would still stand, because it rests on the other data.": ["R2"],
+        "R3, R5, and R7 would both still stand without it.": ["R3", "R5", "R7"],
+        "R3 and R5 would still stand: this changed nothing.": ["R3", "R5"],
+        "No main result would still stand.": [],
+        "It is unclear whether R1 would still stand.": [],
+        "R1 does not need this sentence and would still stand": [],
+        "R1 stands only under that reading.": [],
+        "Repeats R4, and R2 would still stand.": ["R2"],
+    }
+    df = spark.createDataFrame([(k,) for k in said], "reason string")
+    out = {r.reason: list(r.x) for r in df.select("reason", S.left_standing(F.col("reason")).alias("x")).collect()}
+    assert out == said
+    assert df.where(S.still_stands(F.col("reason"))).count() == 5
+
+
+def test_candidates(spark):
+    from claimloom.operators import record_model as G
+    from claimloom.sources import records as R
+
+    r = copy.deepcopy(RECORD)
+    r["excluded"][0]["reason"] = "R1 would still stand."
+    e = R.entries(R.parse(spark.createDataFrame([("p", json.dumps(r))], "paper_key string, raw string")))
+    assert {x.id: (x.bucket, list(x.weighed)) for x in G.candidates(e).collect()} == {"E1": ("standing", ["R1"]), "E2": ("repeat", ["C1", "R1"])}
+    assert {x.result: list(x.candidates) for x in G.considered(e).collect()} == {"R1": ["E1", "E2"]}
+    assert G.matching(e, "BUILD TIME").count() == 4 and G.matching(e, with_note=True).count() == 0
+    assert {x.id for x in G.related(e, "R1").collect()} == {"C1", "C2"}
