@@ -52,7 +52,7 @@ def extract(args: argparse.Namespace) -> int:
     for f in files.where("error is not null or length(trim(text)) < 500").select("src_name", "error").toLocalIterator():
         print(f"UNREADABLE {f.src_name}: {f.error or 'almost no text'}")
         bad += 1
-    lines = L.without_bibliography(L.without_edges(pdf.page_lines(files.where("error is null and length(trim(text)) >= 500"))))
+    lines = L.clean(pdf.page_lines(files.where("error is null and length(trim(text)) >= 500")))
     texts = L.to_text(lines).join(files.select("paper_key", "src_name", "src_sha256"), "paper_key")
     for t in texts.toLocalIterator():
         folder = Path(args.out) / t.paper_key

@@ -154,3 +154,38 @@ def report(lines: DataFrame) -> DataFrame:
     by_page = lines.groupBy("paper_key", "page").agg(F.sum(F.length(F.trim("line"))).alias("chars"))
     counts = by_page.groupBy("paper_key").agg(F.count("*").alias("pages"), F.count_if(F.col("chars") == 0).alias("empty_pages"), F.sum("chars").alias("characters"))
     return counts.join(captions(lines).groupBy("paper_key").agg(F.count("*").alias("captions")), "paper_key", "left").fillna(0, ["captions"])
+
+
+LINES = "paper_key string, page int, line_no int, line string"
+
+
+def _by_paper(lines: DataFrame, work) -> DataFrame:
+    """One paper's pages at a time: a paper is as large as a file, not as the table."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["page", "line_no"])
+        numbers = sorted(pdf["page"].unique())
+        made = work([pdf.loc[pdf["page"] == n, "line"].tolist() for n in numbers])
+        rows = [(pdf["paper_key"].iloc[0], n, i, x) for n, page in zip(numbers, made, strict=True) for i, x in enumerate(page)]
+        return pd.DataFrame(rows, columns=["paper_key", "page", "line_no", "line"])
+
+    return lines.select("paper_key", F.col("page").cast("int").alias("page"), F.col("line_no").cast("int").alias("line_no"), "line").groupBy("paper_key").applyInPandas(run, LINES)
+
+
+def without_line_numbers(lines: DataFrame) -> DataFrame:
+    from ..functions.columns import without_line_numbers as work
+
+    return _by_paper(lines, work)
+
+
+def reading_order(lines: DataFrame) -> DataFrame:
+    from ..functions.columns import reading_order as work
+
+    return _by_paper(lines, lambda pages: work(pages)[0])
+
+
+def clean(lines: DataFrame) -> DataFrame:
+    """All steps in their order: edges, line numbers, columns, bibliography."""
+    return without_bibliography(cut(reading_order(without_line_numbers(without_edges(lines)))))

@@ -60,3 +60,23 @@ def test_captions_and_report(spark):
     assert {(r.label, r.page) for r in L.captions(made).collect()} == {("Fig. 2", 1), ("Table IV", 2)}
     r = L.report(made.unionByName(table(spark, "", paper="q").withColumn("page", F.lit(1)))).orderBy("paper_key").collect()
     assert (r[0].pages, r[0].empty_pages, r[0].captions) == (2, 0, 2) and (r[1].pages, r[1].empty_pages, r[1].captions) == (1, 1, 0)
+
+
+def two_columns(left, right, at=44):
+    n = max(len(left), len(right))
+    return "\n".join((a.ljust(at) + b).rstrip() for a, b in zip(left + [""] * (n - len(left)), right + [""] * (n - len(right)), strict=True))
+
+
+def test_columns_and_line_numbers(spark):
+    left, right = ([f"{side} column line {w}{v} of it" for w in "abcdefgh" for v in "vwxyz"] for side in ("left", "right"))
+    across = "A title that runs right across the whole page and over its gutter too"
+    page = f"{across}\n{two_columns(left, right)}"
+    numbered = "\n".join(f"{i:3d}   {x}" for i, x in enumerate([f"the text of line {w} goes here" for w in "abcdefghijkl"], 101))
+    made = table(spark, page, page).unionByName(table(spark, numbered, paper="q"))
+    out = L.reading_order(L.without_line_numbers(made))
+    assert pages_of(out.where("paper_key = 'p'"))[2].split("\n") == [across, *left, *right]
+    assert [x.strip() for x in pages_of(out.where("paper_key = 'q'"))[1].split("\n")] == [f"the text of line {w} goes here" for w in "abcdefghijkl"]
+    plain = table(spark, f"{BODY}\n{BODY}")
+    assert pages_of(L.clean(plain)) == pages_of(plain)
+    rows = "\n".join(f"{i}   alpha   {i * 3}   beta   {i * 7}" for i in range(1, 12))
+    assert pages_of(L.without_line_numbers(table(spark, rows)))[1] == rows
