@@ -7,7 +7,8 @@ Steps, each spread over all tasks:
    candidate with the leaders of its bands, so a band of n classes gives n candidates and not n^2.
 3. Candidates are verified on full shingle sets; the links give components.
 4. Bands that still hold several components are searched once more in blocks: pairs of different
-   components whose signatures don't rule out the threshold are verified on full sets as well.
+   components whose signatures don't rule out the threshold are verified on full sets as well, in
+   the task that finds them.
 5. Components of all links are brought back to the documents.
 
 A band value, a leader's classes and a band's pairs are all dealt out in blocks of bounded size.
@@ -127,8 +128,8 @@ def super_minhash(sets: list[np.ndarray]) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
-def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Key, class, n_shingles and signature of every row. Texts without words have no class; texts
+def signatures(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
+    """Keys, class, n_shingles and signature of every row. Texts without words have no class; texts
     that are one shingle of fewer words equal only their own class and have no signature."""
 
     def make():
@@ -156,7 +157,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
         return work
 
-    return map_texts(docs, [key], text, make, [T.StructField("class", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.BinaryType())], batch_chars=500_000)
+    return map_texts(docs, keys, text, make, [T.StructField("class", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.BinaryType())], batch_chars=500_000)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -213,8 +214,8 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
             for a, b, t in zip(*(group.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
                 if b is not None:
                     todo.append((a, b))
-                elif a not in sets and class_of(words := words_of(t)) == a:
-                    sets[a] = shingles(words, width)
+                elif a not in sets:
+                    sets[a] = shingles(words_of(t), width)
             root = {c: c for c in sets}
 
             def top(c, root=root):
@@ -234,47 +235,57 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(leader, a, b) of all pairs of a band's members that are in different components, the first
-    band that they share, and not ruled out by sizes or signatures.
+def cross_links(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b) of similar classes in different components that share a band, where nothing else ties
+    their components together yet. Candidate pairs are never rows: they are found by sizes and
+    signatures, and verified on full sets, inside one task that holds their texts.
 
     Members of large bands are dealt to blocks; a block pair is searched in one place, so a band of
-    n members costs n * n / BLOCK^2 tasks' worth of rows and never one task all of them.
+    n members sends each n / (8 * BLOCK) times and never to one task all of them.
     """
-    size = 8 * BLOCK
-    blocks = F.ceil(F.col("n_members") / size)
-    mine = F.pmod(F.xxhash64("class"), blocks)
-    dealt = members.withColumn("_blocks", blocks).withColumn("_mine", mine)
+    blocks = F.ceil(F.col("n_members") / (8 * BLOCK))
+    dealt = members.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("class"), F.col("_blocks")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("band", "value", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("block"), "band", "value", "leader", "class", "component", "n_shingles", "signature", "_mine", "_other")
+    dealt = dealt.select(F.xxhash64("band", "value", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("block"), "band", "value", "leader", "class", "component", "n_shingles", "signature", "text", "_mine", "_other")
+
+    def search(t: pa.Table, band: int) -> list[tuple[int, int]]:
+        cls, comp, n, leader, mine, other = (t.column(c).to_numpy() for c in ("class", "component", "n_shingles", "leader", "_mine", "_other"))
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(len(cls), SLOTS)
+        bands = np.ascontiguousarray(sig[:, : BAND * BANDS]).view(np.uint64)
+        texts, sets = t.column("text"), {}
+        root = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(words_of(texts[i].as_py()), width)
+            return sets[i]
+
+        found = []
+        same = bool((mine == other).all())
+        low = int(min(mine.min(), other.min()))
+        for i in np.flatnonzero((mine == low) & (cls != leader)).tolist():  # pairs with leaders are verified
+            j = np.flatnonzero((comp != comp[i]) & (cls != leader) & (cls > cls[i] if same else mine != low) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            j = j[(bands[j] == bands[i]).argmax(axis=1) == band]  # in the first band they share
+            for k in j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_AGREEING].tolist():
+                if (x := top(int(comp[i]))) != (y := top(int(comp[k]))) and similar(full(i), full(k), percent):
+                    root[max(x, y)] = min(x, y)
+                    found.append((int(cls[i]), int(cls[k])))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "block"):
             # Two block pairs could hash alike: only rows of one band value meet.
             band, value = (group.column(c).to_numpy() for c in ("band", "value"))
             for b, v in sorted(set(zip(band.tolist(), value.tolist(), strict=True))):
-                t = group.filter(pa.array((band == b) & (value == v)))
-                cls, comp, n, leader, mine, other = (t.column(c).to_numpy() for c in ("class", "component", "n_shingles", "leader", "_mine", "_other"))
-                sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(len(cls), SLOTS)
-                bands = np.ascontiguousarray(sig[:, : BAND * BANDS]).view(np.uint64)
-                left, right, lead = [], [], []
-                low = int(min(mine.min(), other.min()))
-                same = bool((mine == other).all())
-                for i in np.flatnonzero(mine == low):
-                    if cls[i] == leader[i]:
-                        continue  # verified already
-                    j = np.flatnonzero((comp != comp[i]) & (cls != leader[i]) & (cls > cls[i] if same else mine != low) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                    if not len(j):
-                        continue
-                    j = j[(bands[j] == bands[i]).argmax(axis=1) == b]
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_AGREEING]
-                    left += [cls[i]] * len(j)
-                    right += cls[j].tolist()
-                    lead += leader[j].tolist()
-                if left:
-                    yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["leader", "a", "b"])
-
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "leader long, a long, b long")
+                if found := search(group.filter(pa.array((band == b) & (value == v))), b):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -285,10 +296,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     nothing and are kept. Repeated keys are one document with all its texts' links. Other columns
     are not read. An empty table gives an empty result.
     """
-    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    rows = cut(signatures(plain, "_key", "text", width))
+    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    rows = cut(signatures(plain, ["_key", "_hash"], "text", width))
     made = rows.where(F.col("class").isNotNull() & F.col("_key").isNotNull())
-    classes = cut(made.groupBy("class").agg(F.min("_key").alias("first"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")))
+    classes = cut(made.groupBy("class").agg(F.min("_key").alias("first"), F.min_by("_hash", "_key").alias("_hash"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")))
 
     # Little-endian parts of the signature's hex, as text of fixed length: a band's value.
     hexed = classes.where(F.col("signature").isNotNull()).select("class", F.hex("signature").alias("_hex"))
@@ -301,19 +312,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sizes = stars.groupBy("leader").agg(F.count("*").alias("n"))
     stars = cut(stars.join(sizes, "leader"))
     candidates = stars.select(F.col("class").alias("c")).unionByName(stars.select(F.col("leader").alias("c"))).distinct()
-    wanted = classes.join(candidates, F.col("class") == F.col("c"), "left_semi").select("class", F.col("first").alias("_key"))
-    texts = store(wanted.join(plain, "_key").select("class", "text"))
+    wanted = classes.join(candidates, F.col("class") == F.col("c"), "left_semi").withColumnRenamed("first", "_key")
+    texts = wanted.join(plain, ["_key", "_hash"]).select("class", "n_shingles", "signature", "text")
+    once = made.agg(F.count("*") == F.count_distinct("_key")).first()[0]
+    texts = store(texts if once else texts.dropDuplicates(["class"]))  # rows that repeat a key may repeat a text
     part = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK))
-    first = cut(verify(stars.select(F.xxhash64("leader", part("class")).alias("block"), F.col("leader").alias("a"), F.col("class").alias("b")), texts, percent, width))
+    first = cut(verify(stars.select(F.xxhash64("leader", part("class")).alias("block"), F.col("leader").alias("a"), F.col("class").alias("b")), texts.select("class", "text"), percent, width))
     joined = components(first, "a", "b")
 
     # Bands that still hold several components, searched in blocks.
     placed = member.where("n_members > 2").join(joined, F.col("class") == F.col("vertex"), "left").select("band", "value", "leader", "n_members", "class", F.coalesce("component", "class").alias("component"))
     several = placed.groupBy("band", "value").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l <> _h").select("band", "value")
-    open_bands = placed.join(several, ["band", "value"]).join(classes.select("class", "n_shingles", "signature"), "class")
-    pairs = cut(cross_pairs(open_bands, percent).groupBy("a", "b").agg(F.min("leader").alias("leader")))
-    where = pairs.join(sizes, "leader").select(F.xxhash64("leader", part("a"), part("b")).alias("block"), "a", "b")
-    second = verify(where, texts, percent, width)
+    open_bands = placed.join(several, ["band", "value"]).join(texts, "class")
+    second = cross_links(open_bands, percent, width)
 
     # Different texts under one key are one document.
     repeated = made.groupBy("_key").agg(F.min("class").alias("a"), F.max("class").alias("_h")).where("a <> _h").select("_key", "a")
