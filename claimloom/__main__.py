@@ -1,4 +1,5 @@
 """python -m claimloom check-env | extract PDF... --out DIR | validate DIR... | render DIR... | schema [--out FILE]
+| site DIR... --out DIR
 
 Ends with 0 if all is well, 1 for an invalid or unsettled record, 2 for wrong use, 3 for a missing program.
 Every command takes all its records in one job.
@@ -7,6 +8,7 @@ Every command takes all its records in one job.
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from pathlib import Path
 
@@ -90,7 +92,59 @@ def render(args: argparse.Namespace) -> int:
     unsure = G.unsettled(R.entries(R.parse(records))).select("paper_key", "label").collect()  # a few of a few records
     for u in unsure:
         print(f"UNSETTLED {u.paper_key} {u.label}")
-    return 1 if unsure else 0
+    if unsure:
+        return 1
+    from .plans.page import html
+
+    for r in html(records).toLocalIterator():
+        (folder_of[r.paper_key] / "claims.html").write_text(r.html, encoding="utf-8")
+    return 0
+
+
+def site(args: argparse.Namespace) -> int:
+    """All records or none: everything is checked and built aside before the first file is published, and
+    the index goes last."""
+    import shutil
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from .operators import record_model as G
+    from .plans.page import html, index_html
+    from .plans.render import markdown
+    from .plans.validate import validate as problems
+    from .sources import records as R
+
+    records, texts = load(session(), args.folder)
+    parsed = R.parse(records)
+    ids = parsed.select("paper_key", F.try_variant_get("v", "$.paper.id", "string").alias("paper_id"))
+    bad = told(problems(records, texts), "PROBLEM")
+    for c in G.collisions(ids).toLocalIterator():
+        print(f"PROBLEM {', '.join(c.records)}: the same paper id but for case")
+        bad += 1
+    for u in G.unsettled(R.entries(parsed)).toLocalIterator():
+        print(f"UNSETTLED {u.paper_key} {u.label}")
+        bad += 1
+    if bad:
+        return 1
+    out = Path(args.out)
+    out.mkdir(parents=True, exist_ok=True)
+    staged = Path(tempfile.mkdtemp(prefix=".staged-", dir=out))
+    name = {r.paper_key: r.paper_id for r in ids.toLocalIterator()}
+    republished = records.select("paper_key", "raw").toLocalIterator()
+    for kind, rows in (("claims.html", html(records).toLocalIterator()), ("claims.md", markdown(records).toLocalIterator()), ("claims.json", republished), ("text.txt", texts.toLocalIterator())):
+        for key, body in rows:
+            if kind == "claims.json":
+                record = {k: v for k, v in json.loads(body).items() if k != "$schema"}
+                body = json.dumps(record, indent=2, ensure_ascii=False) + "\n"
+            (staged / name[key]).mkdir(exist_ok=True)
+            (staged / name[key] / kind).write_text(body, encoding="utf-8")
+    front = index_html(records)
+    shutil.copytree(staged, out, dirs_exist_ok=True)
+    (out / "index.html").write_text(front, encoding="utf-8")
+    shutil.rmtree(staged)
+    print(f"written: {out / 'index.html'}")
+    return 0
 
 
 def schema(args: argparse.Namespace) -> int:
@@ -106,13 +160,13 @@ def schema(args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="claimloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, f, *arguments in (("check-env", check_env), ("extract", extract, "pdf"), ("validate", validate, "folder"), ("render", render, "folder"), ("schema", schema)):
+    for name, f, *arguments in (("check-env", check_env), ("extract", extract, "pdf"), ("validate", validate, "folder"), ("render", render, "folder"), ("site", site, "folder"), ("schema", schema)):
         p = commands.add_parser(name)
         p.set_defaults(run=f)
         for a in arguments:
             p.add_argument(a, nargs="+")
-        if name in ("extract", "schema"):
-            p.add_argument("--out", required=name == "extract")
+        if name in ("extract", "schema", "site"):
+            p.add_argument("--out", required=name != "schema")
     args = parser.parse_args(argv)
     missing = [f"{d}/{x}" for d in getattr(args, "folder", []) for x in ("claims.json", "text.txt") if not Path(d, x).is_file()]
     if missing:

@@ -23,6 +23,17 @@ def test_commands(spark, tmp_path, capsys):
     unsure["excluded"][0]["reason"] = "Unsure; describes the data."
     assert main(["render", put(tmp_path / "unsure", unsure)]) == 1
     assert main(["validate", str(tmp_path / "none")]) == 2
+    page = (tmp_path / "good" / "claims.html").read_text()
+    assert page.count("<article") == 5 and '<article id="C2">' in page and "stated in 2 sentences" in page and not (tmp_path / "unsure" / "claims.html").exists()
+    odd = json.loads(json.dumps(RECORD).replace("Remote Build Caching", "A <b> & 'c'"))
+    odd["paper"]["id"] = "odd"
+    odd["$schema"] = "x"
+    assert main(["site", good, put(tmp_path / "odd", odd), "--out", str(tmp_path / "site")]) == 0
+    assert "A &lt;b&gt; &amp; &#x27;c&#x27;" in (tmp_path / "site" / "odd" / "claims.html").read_text()
+    assert (tmp_path / "site" / "index.html").read_text().count("/claims.html") == 2 and "$schema" not in json.loads((tmp_path / "site" / "odd" / "claims.json").read_text())
+    assert sorted(p.name for p in (tmp_path / "site").iterdir()) == ["caching", "index.html", "odd"]
+    odd["paper"]["id"] = "CACHING"
+    assert main(["site", good, put(tmp_path / "twin", odd), "--out", str(tmp_path / "site2")]) == 1 and not (tmp_path / "site2").exists()
     assert main(["schema", "--out", str(tmp_path / "s.json")]) == 0 and json.loads((tmp_path / "s.json").read_text())["type"] == "object"
 
 
