@@ -73,7 +73,7 @@ def one_line(c: Column) -> Column:
 
 def snippet(c: Column, n: int) -> Column:
     """The first n characters, cut back to a word end where that cuts a word."""
-    head = F.regexp_replace(F.substring(c, 1, n + 1), r"(?U)\s+\S*$", "")
+    head = F.regexp_replace(F.substring(c, 1, n + 1), r"(?U)\s+\S*\z", "")
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(head, 1, n), F.lit("…")))
 
 

@@ -306,3 +306,68 @@ def id_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unserved_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return orders.join(read(spark, sf_dir, "lineitem").where("l_quantity >= 40").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query("SELECT source, max_by(lang, (n, lang)) AS lang, max(n) AS votes FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source")
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most common value of each part; ties to the later one in order."""
+    counts = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return counts.groupBy("source").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max("n").alias("votes"))
+
+
+@query(r"SELECT doc_id, CAST(len(v) AS BIGINT) AS n, list_sum(v) AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '\b[0-9]{1,4}\b'), lambda x: CAST(x AS DOUBLE)) AS v FROM documents) WHERE len(v) >= 2")
+def parts_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that a text names, added up."""
+    numbers = F.transform(F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,4}\b"), F.lit(0)), lambda x: x.cast("double"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", numbers.alias("v")).where("size(v) >= 2")
+    return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM pages")
+def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", X.slug(F.col("url")).alias("slug"))
+
+
+@query(r"SELECT conv_id, turn, CASE WHEN length(text) <= 90 THEN text ELSE left(regexp_replace(left(text, 91), '\s+\S*$', ''), 90) || '…' END AS preview FROM conversations")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.snippet(F.col("text"), 90).alias("preview"))
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM conversations")
+def one_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.one_line(F.col("text")).alias("line"))
+
+
+@query("SELECT l_partkey AS target, array_to_string(list(l_suppkey ORDER BY l_orderkey, l_linenumber, l_suppkey), ',') AS sources FROM lineitem GROUP BY l_partkey")
+def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What points at each target, in order."""
+    rows = read(spark, sf_dir, "lineitem")
+    grouped = rows.groupBy(F.col("l_partkey").alias("target")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey")))["l_suppkey"].alias("sources"))
+    return grouped.select("target", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') AND n_chars > 500")
+def client_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("license")) & (F.col("n_chars") > 500)).select("doc_id", "source")
+
+
+@query("SELECT count(*) AS papers, count(DISTINCT source) AS sections, count(DISTINCT text) AS sentences, sum(n_chars) AS characters FROM documents")
+def overview_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("source", F.sha2(F.col("text").cast("binary"), 256).alias("k"), "n_chars")
+    return docs.agg(F.count("*").alias("papers"), F.count_distinct("source").alias("sections"), F.count_distinct("k").alias("sentences"), F.sum("n_chars").alias("characters"))
+
+
+@query("SELECT CASE WHEN quality IS NULL THEN 'other' WHEN toxic = 1 THEN 'breakdown' WHEN quality = 0 THEN 'repeat' ELSE 'standing' END AS bucket, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def candidate_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the first bucket whose condition holds."""
+    rows = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    bucket = F.when(F.col("quality").isNull(), "other").when(F.col("toxic") == 1, "breakdown").when(F.col("quality") == 0, "repeat").otherwise("standing")
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, array_to_string(list_sort(list(DISTINCT c.o_orderkey)), ',') AS served FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F') c ON c.o_custkey = c_custkey GROUP BY c_custkey".replace("list(DISTINCT c.o_orderkey)", "list(DISTINCT c.o_orderkey) FILTER (c.o_orderkey IS NOT NULL)"))
+def served_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of every result; results without any stay."""
+    served = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    joined = read(spark, sf_dir, "customer").select("c_custkey").join(served, "c_custkey", "left").groupBy("c_custkey").agg(F.sort_array(F.collect_set("o_orderkey")).alias("s"))
+    return joined.select("c_custkey", F.when(F.size("s") > 0, F.array_join(F.transform("s", lambda x: x.cast("string")), ",")).alias("served"))
