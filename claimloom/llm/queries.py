@@ -54,4 +54,4 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_nearest_neighbours, op4_byte_bpe, op5_quality_rules, op6_license_scan, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_pii_surrogates)}
 
-SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL, "op8_minhash_near_dedup": near_dedup.SQL}
