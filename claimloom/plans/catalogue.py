@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import matching as M
 from ..functions import text as X
 from ..operators import entries as E
 from ..operators import lines as L
+from ..sources import records as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -371,3 +373,20 @@ def served_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     served = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     joined = read(spark, sf_dir, "customer").select("c_custkey").join(served, "c_custkey", "left").groupBy("c_custkey").agg(F.sort_array(F.collect_set("o_orderkey")).alias("s"))
     return joined.select("c_custkey", F.when(F.size("s") > 0, F.array_join(F.transform("s", lambda x: x.cast("string")), ",")).alias("served"))
+
+
+@query(rf"WITH {LINES}, p AS (SELECT doc_id, line_no // 4 + 1 AS page, string_agg(line, ' ' ORDER BY line_no) AS t FROM l GROUP BY 1, 2), q AS (SELECT item_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS q FROM benchmark WHERE trim(text) <> ''), w AS (SELECT doc_id, page, 0 AS wide, t FROM p UNION ALL SELECT a.doc_id, a.page, 1, a.t || ' ' || b.t FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.page = a.page + 1) SELECT item_id, doc_id, min((wide, page))[1] = 1 AS across, CAST(min((wide, page))[2] AS BIGINT) AS page FROM q JOIN w ON contains(w.t, q.q) GROUP BY item_id, doc_id")
+def quote_match_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each quote stands by the tolerant matcher: the first page of each document that holds it, or
+    the first of two pages that it runs across. Only documents that hold its words meet it."""
+    blanks = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+    quotes = read(spark, sf_dir, "benchmark").where(F.trim("text") != "").select("item_id", F.col("text").alias("quote"))
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    near = E.contained(quotes.select("item_id", blanks("quote").alias("q")), docs.select("doc_id", blanks("text").alias("t")), ("item_id", "q"), ("doc_id", "t")).toDF("item_id", "doc_id")
+    lines = L.explode_lines(docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text")
+    pages = lines.groupBy(F.col("doc_id").alias("paper_key"), F.expr("line_no div 4 + 1").cast("int").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
+    singles = pages.select("paper_key", F.lit(0).alias("wide"), "page", "text")
+    pairs = R.page_spans(pages.select("paper_key", F.col("page").alias("lo"), (F.col("page") + 1).alias("hi")), pages).where("page_text is not null").select("paper_key", F.lit(1).alias("wide"), F.col("lo").alias("page"), F.col("page_text").alias("text"))
+    met = near.join(quotes, "item_id").join(singles.unionByName(pairs).withColumnRenamed("paper_key", "doc_id"), "doc_id")
+    first = met.where(M.quote_on("quote", "text")).groupBy("item_id", "doc_id").agg(F.min(F.struct("wide", "page")).alias("f"))
+    return first.select("item_id", "doc_id", (F.col("f.wide") == 1).alias("across"), F.col("f.page").cast("long").alias("page"))
