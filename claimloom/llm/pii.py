@@ -33,15 +33,16 @@ NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 #: By type, most specific first. Every one starts at a position that can be told from the character
 #: before it and is of bounded length but for what a single run of its characters holds.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,6}",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3\d{3}[ -]?\d{6}[ -]?\d{5})(?![\d-])",
-    "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9-]{20,100})(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES_F}|{TITLES_M}|{TITLES_N}|{SHOUTED_F}|{SHOUTED_M}|{SHOUTED_N})\.? {NAME}(?: {NAME})?",
+    "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9-]{20,100})(?![A-Za-z0-9])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[MFSDPГ])(?:{TITLES_F}|{TITLES_M}|{TITLES_N}|{SHOUTED_F}|{SHOUTED_M}|{SHOUTED_N})\.? {NAME}(?: {NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Where any of them can start: at a digit, + or (, or at a letter that starts a word. Most places fail this at once.
+ANY = r"(?=[\d+(]|(?<![\p{L}\p{N}])\p{L})(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 GIVEN = {
     "latin_f": "Anna Clara Elena Greta Irene Julia Laura Marta Nora Paula Rosa Sara Teresa Vera Wilma Zoe".split(),
     "latin_m": "Adam Bruno Carl David Erik Felix Hugo Ivan Jonas Leo Martin Oscar Paul Simon Thomas Victor".split(),
