@@ -77,13 +77,13 @@ def best_two_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, key: str = "doc_id", text: str = "text", memo: int = 400_000, batch_chars: int = 2_000_000) -> DataFrame:
     """Key, piece, start, length and ids_crc32 of every document's pieces of up to `size` ids. A
     document's ids are its text's, then end_id; null and empty texts have end_id alone."""
     schema = T.StructType([T.StructField(key, id_type(docs, key)), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = word_ids(tokenizer, memo)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, key: str = "
             at = 0
             while at < len(texts):
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to] or "") <= 2_000_000):
+                while to < len(texts) and (to == at or chars + len(texts[to] or "") <= batch_chars):
                     chars += len(texts[to] or "")
                     to += 1
                 for i, data in enumerate(words.encode([t or "" for t in texts[at:to]]), at):
@@ -109,14 +109,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, key: str = "
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", group: int = GROUP, memo: int = 400_000, batch_chars: int = 2_000_000) -> DataFrame:
     """Every piece of every document with its sequence_id and its offset there.
 
     Offsets of a sequence have no gaps and start at 0. Null texts count as empty (end_id alone); null
     and repeated keys keep a row each; other columns are not read; an empty table packs to none.
     The piece table, a few numbers a document, is checkpointed: it is both counted and dealt.
+    memo: words and chunks that a worker keeps the ids of, twice (about 200 bytes each); batch_chars: how
+    much text it cuts at a time.
     """
-    made = cut(pieces(docs, tokenizer, size, end_id, key, text))
+    made = cut(pieces(docs, tokenizer, size, end_id, key, text, memo, batch_chars))
     groups = max(1, -(-made.count() // group))
     schema = T.StructType([*made.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

@@ -209,7 +209,7 @@ def judge(docs: DataFrame, trees: Trees, keys: list[str], text: str = "text") ->
         return work
 
     fields = [T.StructField(c, T.LongType()) for c in BASE] + [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-    return map_texts(docs, keys, text, make, fields, batch_chars=1_000_000)
+    return map_texts(docs, keys, text, make, fields)
 
 
 def rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -58,7 +58,7 @@ def choose(docs: DataFrame, text: str, decide: Callable[[DataFrame, list[str], s
     return kept.select(*plain).toDF(*names)
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[list[str]], list[dict]]], fields: list[T.StructField], batch_chars: int = 2_000_000) -> DataFrame:
+def map_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[list[str]], list[dict]]], fields: list[T.StructField], batch_chars: int = 500_000) -> DataFrame:
     """One output row per input row: its key columns, then `fields` computed from its text.
 
     make() is called once per task and returns a function from a list of texts (null: None) to

@@ -120,5 +120,5 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, memo_limit: int) -> WordIds:
+    return WordIds(path, memo_limit)
