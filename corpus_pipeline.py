@@ -38,7 +38,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0, memo=120_000, batch_chars=500_000)  # workers that ran the other stages have less room
 
 
 STAGES = [("language_id", keep_languages), ("quality_rules", keep_quality), ("minhash_near_dedup", drop_near_duplicates), ("pii", replace_personal_data), ("best_fit_packing", pack)]
