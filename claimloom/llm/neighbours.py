@@ -61,24 +61,28 @@ class Hashing:
         return out
 
     def visits(self, place: np.ndarray) -> np.ndarray:
-        """Buckets (rows of components) that a query at this place visits, likeliest first."""
-        home = np.floor(place).astype(np.int64)
-        inside = place - home
-        walls = sorted([(float(x) ** 2, i, -1) for i, x in enumerate(inside)] + [(float(1 - x) ** 2, i, 1) for i, x in enumerate(inside)])
-        cost = [w[0] for w in walls]
-        out, heap = [home], [(cost[0], (0,))]
+        """Codes of the buckets that a query at this place visits, likeliest first."""
+        home = np.floor(place)
+        inside = (place - home).tolist()
+        # A wall is (cost of crossing it, component, what crossing adds to the code).
+        walls = sorted([(x * x, i, -1) for i, x in enumerate(inside)] + [((1 - x) * (1 - x), i, 1) for i, x in enumerate(inside)])
+        cost, component = [w[0] for w in walls], [1 << w[1] for w in walls]
+        added = [d << 6 * (len(inside) - 1 - i) for _, i, d in walls]
+        start = int(self.codes(home))
+        # On the heap: cost, code, components crossed (-1: one of them twice), last wall, cost and code without it.
+        out, heap = [start], [(cost[0], start + added[0], component[0], 0, 0.0, start, 0)]
         while heap and len(out) < self.probes:
-            total, chosen = heapq.heappop(heap)
-            last = chosen[-1]
-            if len({walls[i][1] for i in chosen}) == len(chosen):  # a component moves one way only
-                bucket = home.copy()
-                for i in chosen:
-                    bucket[walls[i][1]] += walls[i][2]
-                out.append(bucket)
-            if last + 1 < len(walls):
-                heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
-                heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
-        return np.array(out)
+            total, code, crossed, last, rest, rest_code, rest_crossed = heapq.heappop(heap)
+            if crossed >= 0:  # a component moves one way only
+                out.append(code)
+            if (n := last + 1) < len(walls):
+                c = component[n]
+                heapq.heappush(heap, (rest + cost[n], rest_code + added[n], -1 if rest_crossed < 0 or rest_crossed & c else rest_crossed | c, n, rest, rest_code, rest_crossed))
+                heapq.heappush(heap, (total + cost[n], code + added[n], -1 if crossed < 0 or crossed & c else crossed | c, n, total, code, crossed))
+        return np.array(out, np.int64)
+
+    def cells(self, codes: np.ndarray) -> np.ndarray:
+        return codes >> 6 * (self.directions.shape[2] - self.coarse)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 
 def fit(hashing: Hashing, unit: np.ndarray, k: int, recall: float, queries: int = 100, most: int = 3200) -> Hashing:
-    """The fewest probes (by doubling, up to `most`) that find this share of a sample's neighbours.
+    """The fewest probes, from 50 to `most`, that find this share of a sample's neighbours.
 
     A sample's neighbours are farther apart than the whole table's, so its recall errs on the low side.
     """
@@ -98,19 +102,17 @@ def fit(hashing: Hashing, unit: np.ndarray, k: int, recall: float, queries: int
     near = np.argsort(-cosine, axis=1)[:, : min(k, len(unit) - 1)]
     places = hashing.places(unit)
     codes = hashing.codes(np.floor(places))
-    probes = 50
-    while probes < most:
-        trial = replace(hashing, probes=probes)
-        hit = 0
-        for i, q in enumerate(at):
-            found = np.zeros(near.shape[1], np.bool_)
-            for t in range(len(codes)):
-                found |= np.isin(codes[t, near[i]], trial.codes(trial.visits(places[t, q])))
-            hit += int(found.sum())
-        if hit >= recall * near.size:
-            return trial
-        probes *= 2
-    return replace(hashing, probes=most)
+    widest = replace(hashing, probes=most)
+    first = np.full(near.shape, most)  # at which probe a neighbour is found
+    for i, q in enumerate(at):
+        for t in range(len(codes)):
+            visits = widest.visits(places[t, q])
+            order = np.argsort(visits, kind="stable")
+            found = np.minimum(np.searchsorted(visits[order], codes[t, near[i]]), len(order) - 1)
+            hit = visits[order[found]] == codes[t, near[i]]
+            first[i] = np.minimum(first[i], np.where(hit, order[found], most))
+    needed = np.sort(first.ravel())[min(first.size - 1, math.ceil(recall * first.size) - 1)]
+    return replace(hashing, probes=int(min(most, max(50, needed + 1))))
 
 
 def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -192,7 +194,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
             if not batch.num_rows:
                 continue
             buckets = np.floor(h.places(units(_rows(batch, "vector"))))
-            codes, cells = h.codes(buckets), h.codes(buckets[..., : h.coarse])
+            codes = h.codes(buckets)
+            cells = h.cells(codes)
             for t in range(len(codes)):
                 yield pa.RecordBatch.from_arrays([pa.array([t] * batch.num_rows, pa.int32()), pa.array(cells[t]), batch.column("class"), batch.column("ids"), pa.array([[c] for c in codes[t].tolist()], pa.list_(pa.int64())), batch.column("vector")], names=["table", "coarse", "class", "ids", "codes", "vector"])
 
@@ -205,11 +208,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
                 table, coarse, codes = [], [], []
                 for t in range(len(place)):
                     visits = h.visits(place[t])
-                    cells, whole = h.codes(visits[:, : h.coarse]), h.codes(visits)
+                    cells = h.cells(visits)
                     for cell in np.unique(cells):
                         table.append(t)
                         coarse.append(int(cell))
-                        codes.append(whole[cells == cell].tolist())
+                        codes.append(visits[cells == cell].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(coarse, pa.int64()), pa.array([names[i]] * len(table), pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array([values[i]] * len(table), pa.list_(pa.float64()))], names=["table", "coarse", "class", "codes", "vector"])
 
     indexed = cut(classes.mapInArrow(index, "table int, coarse long, class binary, ids array<long>, codes array<long>, vector array<double>"))

@@ -337,7 +337,8 @@ def test_neighbours(spark):
 def test_probes_come_in_order_of_success():
     h = neighbours.Hashing.make(8, 100)
     place = h.places(neighbours.units(np.random.default_rng(1).normal(size=(1, 8))))[0, 0]
-    visits = neighbours.replace(h, probes=60).visits(place)
+    codes = neighbours.replace(h, probes=60).visits(place)
+    visits = np.stack([(codes >> 6 * k & 63) - 32 for k in range(7, -1, -1)], 1)
     inside = place - np.floor(place)
     cost = [sum(inside[i] ** 2 if d < 0 else (1 - inside[i]) ** 2 for i, d in enumerate(v - np.floor(place)) if d) for v in visits]
     assert len({tuple(v) for v in visits}) == 60 and np.allclose(cost, sorted(cost))
