@@ -54,24 +54,30 @@ class ContextTrees:
         kept |= {s[i:] for s in kept for i in range(1, len(s))}
         contexts = [b"", *sorted(kept, key=lambda s: (len(s), s))]
         number = {s: i for i, s in enumerate(contexts)}
-        p = np.empty((len(contexts), size, len(languages)))
-        for k, c in enumerate(counts):
+        shares = np.array([256 - len(seen), *[1] * (size - 1)]) / 256
+        bits = np.empty((len(contexts), size, len(languages)), np.float32)
+        for k, c in enumerate(counts):  # one language's probabilities at a time
+            p = np.empty((len(contexts), size))
             follow: dict[bytes, dict[int, int]] = {}
             for s, n in c.items():
                 if s[:-1] in number:
                     follow.setdefault(s[:-1], {})[int(symbol[s[-1]])] = n
             for i, s in enumerate(contexts):
                 # All unseen bytes share symbol 0; there are 256 - len(seen) of them.
-                lower = p[number[s[1:]], :, k] if s else np.r_[(256 - len(seen)) / 256, np.full(size - 1, 1 / 256)]
+                lower = p[number[s[1:]]] if s else shares
                 if (here := follow.get(s)) is None:
-                    p[i, :, k] = lower
+                    p[i] = lower
                     continue
                 at, n = np.fromiter(here, np.int64), np.fromiter(here.values(), np.float64)
                 rest = lower.copy()
                 rest[at] = 0
                 total = n.sum() + len(n)
-                p[i, :, k] = rest * (len(n) / total / max(rest.sum(), 1e-300))
-                p[i, at, k] = n / (total if rest.sum() > 0 else n.sum())
+                p[i] = rest * (len(n) / total / max(rest.sum(), 1e-300))
+                p[i, at] = n / (total if rest.sum() > 0 else n.sum())
+            p[:, 0] /= max(1, 256 - len(seen))  # an unseen byte's own share of symbol 0
+            np.maximum(p, 1e-300, out=p)
+            bits[:, :, k] = -np.log2(p, out=p)
+            del p
         state = np.zeros(size**ORDER, np.int32)
         codes = np.arange(size**ORDER)
         for order in range(1, ORDER + 1):
@@ -81,9 +87,7 @@ class ContextTrees:
                     known[sum(int(symbol[b]) * size**j for j, b in enumerate(reversed(s)))] = number[s]
             found = known[codes % size**order]
             state = np.where(found >= 0, found, state)
-        # An unseen byte costs its own share of symbol 0.
-        p[:, 0] /= max(1, 256 - len(seen))
-        return cls(languages, symbol.astype(np.int32), state.astype(np.int32), (-np.log2(np.maximum(p, 1e-300))).astype(np.float32).reshape(-1, len(languages)))
+        return cls(languages, symbol.astype(np.int32), state.astype(np.int32), bits.reshape(-1, len(languages)))
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text in every language."""
@@ -136,8 +140,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     with null key, text or language do not train; without any, the trees are empty.
     """
     rows = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
-    chosen = rows.select(lang, key).withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(lang, key).distinct()
+    # First by a hash range that holds about four times as many of each language, whatever its size;
+    # so even the language of most rows brings few to the window that takes the exact number.
+    share = rows.groupBy(lang).agg((4.0 * per_language / F.count("*")).alias("_share"))
+    # One row a language, of which the trees below hold far more.
+    near = rows.select(lang, key).join(F.broadcast(share), lang).where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key))
+    chosen = near.select(lang, key).withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(lang, key).distinct()
     # At most per_language keys a language.
     sample = rows.select(lang, key, text).join(F.broadcast(chosen), [lang, key], "left_semi")
 
@@ -181,7 +190,7 @@ def predict(docs: DataFrame, trees: ContextTrees, keys: list[str], text: str = "
     def make():
         return shared.value.predict
 
-    return map_texts(docs, keys, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], batch_chars=1_000_000)
+    return map_texts(docs, keys, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **bounds: int) -> DataFrame:
