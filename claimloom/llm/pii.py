@@ -64,34 +64,33 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _shift(text: Column, digest: Column, alphabets: list[str]) -> Column:
-    """Every character moved on within its alphabet by a step that the digest gives its place."""
+def _shift(text: Column, digest: Column, alphabets: Column) -> Column:
+    """Every character moved on within its alphabet by a step that the digest gives its place; characters
+    of none of the alphabets (an array of strings without common characters) stay."""
 
     def one(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
         h = F.pmod(2 * i, F.lit(120)) + 1
         step = 16 * (F.call_function("instr", F.lit(HEX), F.substring(digest, h, F.lit(1))) - 1) + F.call_function("instr", F.lit(HEX), F.substring(digest, h + 1, F.lit(1))) - 1
-        out = c
-        for a in alphabets:
-            p = F.call_function("instr", F.lit(a), c)
-            out = F.when(p > 0, F.substring(F.lit(a), F.pmod(p - 1 + step, F.lit(len(a))) + 1, F.lit(1))).otherwise(out)
-        return out
+        mine = F.get(F.filter(alphabets, lambda a: F.call_function("instr", a, c) > 0), F.lit(0))
+        moved = lambda a: F.substring(a, F.pmod(F.call_function("instr", a, c) - 1 + step, F.length(a)) + 1, F.lit(1))
+        return F.when(mine.isNull(), c).otherwise(_let(mine, moved))
 
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise(F.lit(""))
 
 
-def _encipher(text: Column, tweak: Column, alphabets: list[str], rounds: int = 4) -> Column:
+def _encipher(text: Column, tweak: Column, alphabets: Column, rounds: int = 4) -> Column:
     """A bijection of the strings of text's shape."""
     half = F.ceil(F.length(text) / 2).cast("int")
     left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
-    state = F.struct(left.alias("l"), right.alias("r"), F.concat(tweak, F.lit("|"), F.length(text)).alias("t"))
+    state = F.struct(left.alias("l"), right.alias("r"), F.concat(tweak, F.lit("|"), F.length(text)).alias("t"), alphabets.alias("a"))
 
 
     def turn(k: int) -> Callable[[Column], Column]:
         def step(s: Column) -> Column:
             fixed, moved = ("l", "r") if k % 2 == 0 else ("r", "l")
-            shifted = _let(F.sha2(F.concat(s["t"], F.lit(f"|{k}|"), s[fixed]), 512), lambda digest: _shift(s[moved], digest, alphabets))
-            return F.struct(*((shifted if c == moved else s[c]).alias(c) for c in "lrt"))
+            shifted = _let(F.sha2(F.concat(s["t"], F.lit(f"|{k}|"), s[fixed]), 512), lambda digest: _shift(s[moved], digest, s["a"]))
+            return F.struct(*((shifted if c == moved else s[c]).alias(c) for c in "lrta"))
 
         return step
 
@@ -130,10 +129,9 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.sequence(F.lit(1), n), add), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _card(digits: Column, tweak: Column) -> Column:
-    n = F.length(digits)
-    body = F.concat(F.substring(digits, 1, 1), _encipher(F.substring(digits, F.lit(2), n - 2), tweak, [DIGITS]))
-    return _let(body, lambda b: F.concat(b, F.pmod(_luhn(digits) - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+def _card(digits: Column, body: Column) -> Column:
+    """The first digit, the enciphered body, and the digit that keeps the check sum's remainder."""
+    return _let(F.concat(F.substring(digits, 1, 1), body), lambda b: F.concat(b, F.pmod(_luhn(digits) - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
 
 def _lay(digits: Column, form: Column) -> Column:
@@ -191,21 +189,23 @@ def _units(match: Column) -> Column:
 def _surrogate(kind: Column, form: Column, key: str, tries: Column) -> Column:
     """The surrogate of a canonical form, itself in canonical form (names: capitalised)."""
     tweak = F.concat(F.lit(key), F.lit("|"), kind, F.lit("|"), tries.cast("string"))
-    last = F.regexp_extract(form, r"(\.[a-z0-9-]+)$", 1)
-    email = F.concat(_encipher(F.substring(form, F.lit(1), F.length(form) - F.length(last)), tweak, [DIGITS, LOWER]), last)
-    country = F.substring_index(form, "|", 1)
-    rest = F.substring_index(form, "|", -1)
-    prefix = F.regexp_extract(form, r"^(AKIA|gh[opsu]_|sk-)", 1)
-    secret = F.when(form.rlike("^[0-9a-f]+$"), _encipher(form, tweak, [HEX])).otherwise(F.concat(prefix, _encipher(F.substring(form, F.length(prefix) + 1, F.length(form)), tweak, [DIGITS, LOWER, UPPER])))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", _ip(form, tweak))
-        .when(kind == "phone", F.concat(country, F.lit("|"), _encipher(rest, F.concat(tweak, F.lit("|"), country), [DIGITS])))
-        .when(kind == "ssn", _encipher(form, tweak, [DIGITS]))
-        .when(kind == "card", _card(form, tweak))
-        .when(kind == "secret", secret)
-        .otherwise(_name_word(kind, form, tweak, tries))
-    )
+    # What is enciphered, between what is kept before and after it; one cipher serves all kinds.
+    nothing = F.lit("")
+    before = F.when(kind == "phone", F.concat(F.substring_index(form, "|", 1), F.lit("|"))).when(kind == "secret", F.regexp_extract(form, r"^(AKIA|gh[opsu]_|sk-)", 1)).otherwise(nothing)
+    after = F.when(kind == "email", F.regexp_extract(form, r"(\.[a-z0-9-]+)$", 1)).otherwise(nothing)
+    hexed = (kind == "secret") & form.rlike("^[0-9a-f]+$")
+    alphabets = F.when(hexed, F.array(F.lit(HEX))).when(kind == "secret", F.array(*map(F.lit, (DIGITS, LOWER, UPPER)))).when(kind == "email", F.array(F.lit(DIGITS), F.lit(LOWER))).otherwise(F.array(F.lit(DIGITS)))
+
+    def made(x: Column) -> Column:
+        size = F.length(form) - F.length(x["before"]) - F.length(x["after"])
+        card = kind == "card"
+        inner = F.substring(form, F.length(x["before"]) + 1 + card.cast("int"), size - 2 * card.cast("int"))
+        body = _encipher(inner, F.concat(tweak, F.lit("|"), x["before"]), x["alphabets"])
+        return F.when(card, _card(form, body)).otherwise(F.concat(x["before"], body, x["after"]))
+
+    enciphered = _let(F.struct(before.alias("before"), after.alias("after"), alphabets.alias("alphabets")), made)
+    name = kind.startswith("given_") | kind.startswith("family_")
+    return F.when(kind == "ip", _ip(form, tweak)).when(name, _name_word(kind, form, tweak, tries)).otherwise(enciphered)
 
 
 def _in_form(match: Column, kind: Column, surrogates: Column) -> Column:
