@@ -41,8 +41,9 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9-]{20,100})(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=[MFSDPГ])(?:{TITLES_F}|{TITLES_M}|{TITLES_N}|{SHOUTED_F}|{SHOUTED_M}|{SHOUTED_N})\.? {NAME}(?: {NAME})?",
 }
-#: Where any of them can start: at a digit, + or (, or at a letter that starts a word. Most places fail this at once.
-ANY = r"(?=[\d+(]|(?<![\p{L}\p{N}])\p{L})(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Where any of them can start: at a digit, + or (, at an ASCII letter after none of its like (what stands in
+#: scripts without blanks too), or at a letter that starts a word. Most places fail this at once.
+ANY = r"(?=[\d+(]|(?<![A-Za-z0-9])[A-Za-z]|(?<![\p{L}\p{N}])\p{L})(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 GIVEN = {
     "latin_f": "Anna Clara Elena Greta Irene Julia Laura Marta Nora Paula Rosa Sara Teresa Vera Wilma Zoe".split(),
     "latin_m": "Adam Bruno Carl David Erik Felix Hugo Ivan Jonas Leo Martin Oscar Paul Simon Thomas Victor".split(),
