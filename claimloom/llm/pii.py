@@ -29,6 +29,10 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TITLES_F, TITLES_M, TITLES_N = "Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|Srta|Г-жа", "Mr|Herr|Sr|Г-н", "Dr|Prof"
 SHOUTED_F, SHOUTED_M, SHOUTED_N = TITLES_F.upper(), TITLES_M.upper(), TITLES_N.upper()
+TITLES = "|".join((TITLES_F, TITLES_M, TITLES_N, SHOUTED_F, SHOUTED_M, SHOUTED_N))
+TITLE_STARTS = "".join(sorted({t[0] for t in TITLES.split("|")}))
+#: Titles stand in rows: Herr Dr. Schmidt, Frau Prof. Dr. Schmidt.
+TITLED = rf"(?:{TITLES})\.?(?: (?:{TITLES})(?![\p{{L}}'’-])\.?){{0,3}}"
 NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 #: By type, most specific first. Every one starts at a position that can be told from the character
 #: before it and is of bounded length but for what a single run of its characters holds.
@@ -39,7 +43,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3\d{3}[ -]?\d{6}[ -]?\d{5})(?![\d-])",
     "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9-]{20,100})(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[MFSDPГ])(?:{TITLES_F}|{TITLES_M}|{TITLES_N}|{SHOUTED_F}|{SHOUTED_M}|{SHOUTED_N})\.? {NAME}(?: {NAME})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{TITLE_STARTS}]){TITLED} {NAME}(?: {NAME})?",
 }
 #: Where any of them can start: at a digit, + or (, at an ASCII letter after none of its like (what stands in
 #: scripts without blanks too), or at a letter that starts a word. Most places fail this at once.
@@ -171,9 +175,10 @@ def _units(match: Column) -> Column:
     country = F.regexp_extract(match, r"^\+(\d{1,3})(?=\D)", 1)
     phone = F.concat(country, F.lit("|"), F.substring(digits, F.length(country) + 1, F.length(digits)))
     secret = F.when(match.rlike("^[0-9A-Fa-f]+$"), F.lower(match)).otherwise(match)
-    title = F.regexp_extract(match, r"^(\S+?)\.? ", 1)
-    words = F.slice(F.split(match, " "), F.lit(2), F.size(F.split(match, " ")))
-    gender = F.when(title.rlike(f"^(?:{TITLES_F}|{SHOUTED_F})$"), "f").when(title.rlike(f"^(?:{TITLES_M}|{SHOUTED_M})$"), "m").otherwise("n")
+    titles = F.regexp_extract(match, rf"^({TITLED}) {NAME}(?: {NAME})?$", 1)
+    words = F.slice(F.split(match, " "), F.size(F.split(titles, " ")) + 1, F.size(F.split(match, " ")))
+    among = lambda some: titles.rlike(rf"(?:^| )(?:{some})\.?(?: |$)")
+    gender = F.when(among(f"{TITLES_F}|{SHOUTED_F}"), "f").when(among(f"{TITLES_M}|{SHOUTED_M}"), "m").otherwise("n")
     script = F.when(match.rlike(r"\p{IsCyrillic}{2}"), "cyrillic").otherwise("latin")
     unit = lambda kind, form: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), form.alias("form"))
     kind = _kind(match)
@@ -213,7 +218,8 @@ def _in_form(match: Column, kind: Column, surrogates: Column) -> Column:
     """The surrogates written as the match was: its separators, its case."""
     first = surrogates[0]
     shouted = (F.upper(match) == match) & (F.lower(match) != match)
-    words = F.array_join(F.concat(F.slice(F.split(match, " "), 1, 1), surrogates), " ")
+    titles = F.slice(F.split(match, " "), F.lit(1), F.greatest(F.size(F.split(match, " ")) - F.size(surrogates), F.lit(0)))
+    words = F.array_join(F.concat(titles, surrogates), " ")
     return (
         F.when(kind == "phone", _lay(F.replace(first, F.lit("|"), F.lit("")), match))
         .when(kind.isin("ssn", "card"), _lay(first, match))

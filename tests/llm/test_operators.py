@@ -429,6 +429,17 @@ def test_pii_guard_refuses_no_start(spark):
     assert all(r.n_entities == 1 and not any(x in r.text for x in (key, token, "john@")) for r in out)
 
 
+def test_pii_every_title_starts_a_name(spark):
+    titles = "|".join((pii.TITLES_F, pii.TITLES_M, pii.TITLES_N)).split("|")
+    texts = [f"{t}{dot} {name}" for title in titles for t in (title, title.upper()) for dot in ("", ".") for name in ("Schmidt", "Anna Schmidt", "Иванов")]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [t for t, r in zip(texts, out, strict=True) if r.n_entities != 1 or "Schmidt" in r.text or "Иванов" in r.text] == []
+    rows = "Herr Schmidt. Dr Schmidt. Herr Dr. Schmidt. Frau Prof. Dr. Anna Schmidt. HERR DR SCHMIDT. Mr Drake"
+    both = pii.pseudonymise(spark.createDataFrame([(0, rows)], "doc_id long, text string"), "k").collect()[0].text
+    m = re.fullmatch(r"Herr (\S+)\. Dr \1\. Herr Dr\. \1\. Frau Prof\. Dr\. (\S+) \1\. HERR DR (\S+)\. Mr (\S+)", both)
+    assert m and m[1] != "Schmidt" and m[2] in pii.GIVEN["latin_f"] and m[3] == m[1].upper() and m[4] not in ("Drake", m[1])
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
