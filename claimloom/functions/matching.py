@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import functions as F
@@ -39,6 +40,31 @@ def match_key(text: str) -> str:
     return regex.sub(r"\s+", "", s).casefold()
 
 
+def letters(text: str) -> str:
+    """The letters alone, case folded. Of a stretch of quote without gaps they stand in one run in those of
+    every text that the matcher finds it in: blanks, hyphens, marks and footnote numbers are all it tolerates."""
+    return regex.sub(r"\P{L}+", "", fold_text(text).casefold()).replace("ı", "i")
+
+
+GRAM, WINDOW = 8, 8
+#: Letters that surely hold an anchor.
+ANCHORED = GRAM + WINDOW - 1
+
+
+def anchors(key: str) -> np.ndarray:
+    """The least hash in every window of a key's grams. Those of a key are among those of all keys that contain it."""
+    codes = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - GRAM + 1
+    if n < WINDOW:
+        return np.empty(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(0x100000001B3) + codes[i : i + n]
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)).view(np.int64)
+
+
 @lru_cache(maxsize=512)
 def marked_page(text: str) -> str:
     """The folded page with ON and OFF around each footnote number that a quote may leave out."""
@@ -120,6 +146,23 @@ def quote_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else match_key(t))
 
 
+@F.pandas_udf(T.StringType())
+def letters_key(texts: pd.Series) -> pd.Series:
+    """letters over a column; null stays null."""
+    return texts.map(lambda t: None if t is None else letters(t))
+
+
+@F.pandas_udf(T.StringType())
+def piece_key(quotes: pd.Series) -> pd.Series:
+    """letters of the longest stretch of a quote without gaps."""
+    return quotes.map(lambda q: None if q is None else max(map(letters, GAP.split(q.strip())), key=len))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def key_anchors(keys: pd.Series) -> pd.Series:
+    return keys.map(lambda k: None if k is None else anchors(k))
+
+
 @F.pandas_udf(SPAN)
 def quote_span(quotes: pd.Series, pages: pd.Series) -> pd.DataFrame:
     """find_quote over pairs of columns; null fields where it isn't there."""

@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..operators import entries as E
 from ..operators import lines as L
 from ..sources import records as R
+from ..stages import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -377,12 +378,38 @@ def served_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {LINES}, p AS (SELECT doc_id, line_no // 4 + 1 AS page, string_agg(line, ' ' ORDER BY line_no) AS t FROM l GROUP BY 1, 2), q AS (SELECT item_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS q FROM benchmark WHERE trim(text) <> ''), w AS (SELECT doc_id, page, 0 AS wide, t FROM p UNION ALL SELECT a.doc_id, a.page, 1, a.t || ' ' || b.t FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.page = a.page + 1) SELECT item_id, doc_id, min((wide, page))[1] = 1 AS across, CAST(min((wide, page))[2] AS BIGINT) AS page FROM q JOIN w ON contains(w.t, q.q) GROUP BY item_id, doc_id")
 def quote_match_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each quote stands by the tolerant matcher: the first page of each document that holds it, or
-    the first of two pages that it runs across. Only documents that hold its words meet it."""
+    """Where each quote stands: the first page of each document that holds it, or the first of two pages that
+    it runs across. Only documents that hold it but for white space meet it, as in its SQL;
+    quote_match_tolerant finds those too that hold it in another print."""
     blanks = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
     quotes = read(spark, sf_dir, "benchmark").where(F.trim("text") != "").select("item_id", F.col("text").alias("quote"))
     docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     near = E.contained(quotes.select("item_id", blanks("quote").alias("q")), docs.select("doc_id", blanks("text").alias("t")), ("item_id", "q"), ("doc_id", "t")).toDF("item_id", "doc_id")
+    return _placed(near, quotes, docs)
+
+
+@query(None)
+def quote_match_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each quote stands by the tolerant matcher, in the form of quote_match_page: in another case, with
+    broken words, small capitals, footnote numbers and [...] too. Quotes meet documents over the rarest anchor
+    of their letters, or in full where they have fewer letters than an anchor takes; the matcher decides."""
+    quotes = read(spark, sf_dir, "benchmark").where(F.trim("text") != "").select("item_id", F.col("text").alias("quote"))
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    pieces = quotes.select("item_id", M.piece_key("quote").alias("piece"))
+    keys = docs.select("doc_id", M.letters_key("text").alias("key"))
+    grams = pieces.select("item_id", F.explode(M.key_anchors("piece")).alias("gram"))
+    index = cut(keys.select("doc_id", F.explode(M.key_anchors("key")).alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi"))
+    frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
+    best = grams.join(frequency, "gram", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("b")).select("item_id", "b.gram")
+    met = best.join(index, "gram").select("item_id", "doc_id").distinct()
+    held = met.join(pieces, "item_id").join(keys.join(met.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").where(F.contains("key", "piece"))
+    short = pieces.where(F.length("piece") < M.ANCHORED)
+    near = held.select("item_id", "doc_id").unionByName(keys.join(F.broadcast(short), F.contains("key", "piece")).select("item_id", "doc_id"))
+    return _placed(near, quotes, docs)
+
+
+def _placed(near: DataFrame, quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, across, page) of the pairs in near that the matcher accepts."""
     lines = L.explode_lines(docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text")
     pages = lines.groupBy(F.col("doc_id").alias("paper_key"), F.expr("line_no div 4 + 1").cast("int").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
     singles = pages.select("paper_key", F.lit(0).alias("wide"), "page", "text")
