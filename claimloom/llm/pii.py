@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates of the same type and form. DataFrame operations only.
 
 Detected entities: e-mail addresses, IPv4 addresses, telephone, payment card and social security
-numbers, keys and tokens, and names after a title. Surrogates are keyed and depend on an entity's
+numbers, keys and tokens, and names after a title, in the forms of PATTERNS; README lists what they leave. Surrogates are keyed and depend on an entity's
 canonical form alone, so every mention of it, whatever its case or spacing, gets the same one:
 
 - Strings are enciphered in place: halves take turns in shifting each other's characters, each within its
