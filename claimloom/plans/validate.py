@@ -57,12 +57,13 @@ def _fields(v: Column, name: str, label: Column | str) -> list[Column]:
 
 
 def record_rules(parsed: DataFrame) -> DataFrame:
-    """V-05, V-08, V-13, V-14, V-31 to V-33."""
+    """V-04, V-05, V-08, V-13, V-14, V-31 to V-33."""
     v = F.col("v")
     is_object = R.kind(v, "$").startswith("OBJECT")
     has = R.keys(v)
     top = F.array(*map(F.lit, R.FIELDS))
-    singles = [when("V-05", v.isNull(), "record", "not valid JSON"), when("V-08", ~is_object, "record", "must be an object")]
+    utf8 = F.coalesce(F.is_valid_utf8("raw"), F.lit(True))
+    singles = [when("V-04", ~utf8, "record", "not UTF-8"), when("V-05", utf8 & v.isNull(), "record", "not valid JSON"), when("V-08", ~is_object, "record", "must be an object")]
     singles += [when("V-31", is_object & ~R.kind(v, "$.paper").startswith("OBJECT"), "paper", "must be an object")]
     singles += [when("V-32", is_object & ~R.kind(v, f"$.{x}").startswith("ARRAY"), x, "must be a list") for x in R.LISTS]
     arrays = [

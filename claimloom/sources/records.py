@@ -69,9 +69,9 @@ def read_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """records with v, the parsed record; null where it isn't JSON. Of repeated keys the last counts."""
+    """records with v, the parsed record; null where it isn't UTF-8 or JSON. Of repeated keys the last counts."""
     records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return records.withColumn("v", F.try_parse_json("raw"))
+    return records.withColumn("v", F.when(F.is_valid_utf8("raw"), F.try_parse_json("raw")))
 
 
 def kind(v: Column, path: str) -> Column:
