@@ -1,17 +1,18 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, verification and union-find.
 
-Steps, each spread over all tasks:
-1. Every text gives a digest of its word sequence, its number of distinct shingles and a signature.
-   Equal sequences form a class at once, so groups of copies cost one row from here on.
+Steps, each spread over all tasks and written down before the next, so that every plan is short:
+1. Every text gives a 128-bit digest of its word sequence, its number of distinct shingles and a
+   signature. Equal sequences form a class at once, so groups of copies cost one row from here on.
 2. Signatures are cut into bands. Each band value's smallest class is its leader; a class is a
    candidate with the leaders of its bands, so a band of n classes gives n candidates and not n^2.
 3. Candidates are verified on full shingle sets; the links give components.
-4. Bands that still hold several components are searched once more in blocks: pairs of different
-   components whose signatures don't rule out the threshold are verified on full sets as well, in
-   the task that finds them.
+4. Bands that still hold several components are searched once more in blocks: first by sketches of the
+   signatures, then with the texts of those classes alone that have a partner which the sketches
+   don't rule out. Pairs are verified on full sets as well, in the task that finds them.
 5. Components of all links are brought back to the documents.
 
-A band value, a leader's classes and a band's pairs are all dealt out in blocks of bounded size.
+A band value, a leader's classes and a band's pairs are all dealt out in blocks of bounded size, and keys
+that hold many rows are broadcast, of which there can only be a bounded number.
 At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import cut, id_type, map_texts, store
+from .shared import Scratch, cut, hot_join, id_type, map_texts
 
 SLOTS, BAND, BANDS = 256, 4, 32  # bands use the first 128 slots, estimates all
 #: Pairs whose signatures agree in fewer slots are under 0.75 but for 5 standard deviations.
@@ -64,9 +65,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
 
 
-def class_of(words: list[bytes]) -> int:
-    """Signed 64-bit digest of a word sequence."""
-    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+def digest_of(words: list[bytes]) -> bytes:
+    """128-bit digest of a word sequence: no two of 10^11 texts share one but with a chance of 10^-17."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:
@@ -129,35 +130,36 @@ def super_minhash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
-    """Keys, class, n_shingles and signature of every row. Texts without words have no class; texts
-    that are one shingle of fewer words equal only their own class and have no signature."""
+    """Keys, digest, n_shingles and signature (64 numbers of four slots) of every row. Texts without words
+    have no digest; texts that are one shingle of fewer words equal only their own class and have no
+    signature."""
 
     def make():
         def work(texts):
             out, sets, at = [], [], []
-            known: dict[int, int] = {}
+            known: dict[bytes, int] = {}
             for i, t in enumerate(texts):
                 words = words_of(t)
                 if not words:
                     out.append([None, 0, None])
                     continue
-                number = class_of(words)
-                if number in known:
-                    out.append(out[known[number]])
+                digest = digest_of(words)
+                if digest in known:
+                    out.append(out[known[digest]])
                     continue
-                known[number] = i
+                known[digest] = i
                 s = shingles(words, width)
-                out.append([number, len(s), None])
+                out.append([digest, len(s), None])
                 if len(words) >= width:
                     sets.append(s)
                     at.append(i)
-            for i, sig in zip(at, super_minhash(sets), strict=True):
-                out[i][2] = sig.tobytes()
+            for i, sig in zip(at, super_minhash(sets).view(np.int64), strict=True):
+                out[i][2] = sig
             return [tuple(x) for x in out]
 
         return work
 
-    return map_texts(docs, keys, text, make, [T.StructField("class", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.BinaryType())], batch_chars=500_000)
+    return map_texts(docs, keys, text, make, [T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.ArrayType(T.LongType()))], batch_chars=500_000)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -235,25 +237,68 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def cross_links(members: DataFrame, percent: int, width: int) -> DataFrame:
+def sketch_of(signature: pa.ChunkedArray | pa.Array) -> list[bytes]:
+    """The low byte of every slot: enough to rule pairs out, as equal slots stay equal."""
+    flat = signature.flatten().to_numpy(zero_copy_only=False)
+    return [x.tobytes() for x in (flat.view(np.uint16) & 0xFF).astype(np.uint8).reshape(-1, SLOTS)]
+
+
+def with_sketch(classes: DataFrame) -> DataFrame:
+    """class, n_shingles and sketch of the classes that have a signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch_of(batch.column(2)), pa.binary())], names=["class", "n_shingles", "sketch"])
+
+    return classes.where(F.col("signature").isNotNull()).select("class", "n_shingles", "signature").mapInArrow(run, "class long, n_shingles long, sketch binary")
+
+
+def cross_links(members: DataFrame, texts: DataFrame, percent: int, width: int, keep: Scratch) -> DataFrame:
     """(a, b) of similar classes in different components that share a band, where nothing else ties
-    their components together yet. Candidate pairs are never rows: they are found by sizes and
-    signatures, and verified on full sets, inside one task that holds their texts.
+    their components together yet. Candidate pairs are never rows: they are found by sizes and sketches, and
+    verified on full sets, inside one task that holds their texts.
 
     Members of large bands are dealt to blocks; a block pair is searched in one place, so a band of
-    n members sends each n / (8 * BLOCK) times and never to one task all of them.
+    n members sends each n / (2 * BLOCK) times, without its text, and never to one task all of them.
+    Equal four-byte parts of two sketches stand for equal bands where a pair's first shared band is
+    sought, which errs with a chance of 10^-8.
     """
-    blocks = F.ceil(F.col("n_members") / (8 * BLOCK))
+    blocks = F.ceil(F.col("n_members") / (2 * BLOCK))
     dealt = members.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("class"), F.col("_blocks")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("band", "value", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("block"), "band", "value", "leader", "class", "component", "n_shingles", "signature", "text", "_mine", "_other")
+    dealt = dealt.select(F.xxhash64("spot", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("block"), "spot", "band", "leader", "class", "component", "n_shingles", "sketch", "_mine", "_other")
+
+    def candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows i of one band value and the rows that may be similar to each."""
+        cls, comp, n, leader, mine, other, band = (t.column(c).to_numpy() for c in ("class", "component", "n_shingles", "leader", "_mine", "_other", "band"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cls), SLOTS)
+        bands = np.ascontiguousarray(sketch[:, : BAND * BANDS]).view(np.uint32)
+        same, low = bool((mine == other).all()), int(min(mine.min(), other.min()))
+        for i in np.flatnonzero((mine == low) & (cls != leader)).tolist():  # pairs with leaders are verified
+            j = np.flatnonzero((comp != comp[i]) & (cls != leader) & (cls > cls[i] if same else mine != low) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            j = j[(bands[j] == bands[i]).argmax(axis=1) == band[i]]  # in the first band they share
+            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= LEAST_AGREEING]
+            if len(j):
+                yield i, j
 
-    def search(t: pa.Table, band: int) -> list[tuple[int, int]]:
-        cls, comp, n, leader, mine, other = (t.column(c).to_numpy() for c in ("class", "component", "n_shingles", "leader", "_mine", "_other"))
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(len(cls), SLOTS)
-        bands = np.ascontiguousarray(sig[:, : BAND * BANDS]).view(np.uint64)
-        texts, sets = t.column("text"), {}
-        root = {c: c for c in comp.tolist()}
+    def each_spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for group in groups_of(batches, "block"):
+            spot = group.column("spot").to_numpy()  # two block pairs could hash alike: only rows of one band value meet
+            for v in np.unique(spot).tolist():
+                yield group.filter(pa.array(spot == v))
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each_spot(batches):
+            wanted = np.zeros(t.num_rows, np.bool_)
+            for i, j in candidates(t):
+                wanted[i] = wanted[j] = True
+            if wanted.any():
+                yield from t.filter(pa.array(wanted)).to_batches()
+
+    def search(t: pa.Table) -> list[tuple[int, int]]:
+        cls, comp, texts, sets, found = t.column("class").to_pylist(), t.column("component").to_pylist(), t.column("text"), {}, []
+        root = {c: c for c in comp}
 
         def top(c: int) -> int:
             while root[c] != c:
@@ -265,27 +310,20 @@ def cross_links(members: DataFrame, percent: int, width: int) -> DataFrame:
                 sets[i] = shingles(words_of(texts[i].as_py()), width)
             return sets[i]
 
-        found = []
-        same = bool((mine == other).all())
-        low = int(min(mine.min(), other.min()))
-        for i in np.flatnonzero((mine == low) & (cls != leader)).tolist():  # pairs with leaders are verified
-            j = np.flatnonzero((comp != comp[i]) & (cls != leader) & (cls > cls[i] if same else mine != low) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            j = j[(bands[j] == bands[i]).argmax(axis=1) == band]  # in the first band they share
-            for k in j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_AGREEING].tolist():
-                if (x := top(int(comp[i]))) != (y := top(int(comp[k]))) and similar(full(i), full(k), percent):
+        for i, js in candidates(t):
+            for k in js.tolist():
+                if (x := top(comp[i])) != (y := top(comp[k])) and similar(full(i), full(k), percent):
                     root[max(x, y)] = min(x, y)
-                    found.append((int(cls[i]), int(cls[k])))
+                    found.append((cls[i], cls[k]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, "block"):
-            # Two block pairs could hash alike: only rows of one band value meet.
-            band, value = (group.column(c).to_numpy() for c in ("band", "value"))
-            for b, v in sorted(set(zip(band.tolist(), value.tolist(), strict=True))):
-                if found := search(group.filter(pa.array((band == b) & (value == v))), b):
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for t in each_spot(batches):
+            if found := search(t):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+    some = keep(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(hopeful, dealt.schema))
+    return keep(some.join(texts, "class").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -296,47 +334,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     nothing and are kept. Repeated keys are one document with all its texts' links. Other columns
     are not read. An empty table gives an empty result.
     """
-    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
-    rows = cut(signatures(plain, ["_key", "_hash"], "text", width))
-    made = rows.where(F.col("class").isNotNull() & F.col("_key").isNotNull())
-    classes = cut(made.groupBy("class").agg(F.min("_key").alias("first"), F.min_by("_hash", "_key").alias("_hash"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")))
+    with Scratch(docs.sparkSession) as keep:
+        return cut(_near_duplicates(docs, key, text, width, percent, keep))
 
-    # Little-endian parts of the signature's hex, as text of fixed length: a band's value.
-    hexed = classes.where(F.col("signature").isNotNull()).select("class", F.hex("signature").alias("_hex"))
-    bands = hexed.select("class", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("_hex"), i * (4 * BAND) + 1, F.lit(4 * BAND))).alias("value")))).alias("_b")).select("class", "_b.band", "_b.value")
-    leaders = bands.groupBy("band", "value").agg(F.min("class").alias("leader"), F.count("*").alias("n_members")).where("n_members > 1")
-    member = cut(bands.join(leaders, ["band", "value"]))
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, width: int, percent: int, keep: Scratch) -> DataFrame:
+    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    rows = keep(signatures(plain, ["_key", "_hash"], "text", width))
+    made = rows.where(F.col("digest").isNotNull() & F.col("_key").isNotNull())
+    # A class is numbered as it is written, so its number holds from here on.
+    grouped = made.groupBy("digest").agg(F.min("_key").alias("first"), F.min_by("_hash", "_key").alias("_hash"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.count("*").alias("copies"))
+    classes = keep(grouped.withColumn("class", F.monotonically_increasing_id()))
+    n_rows, n_classes = rows.count(), classes.count()
+    repeated = keep(made.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1"))
+    once = repeated.isEmpty()
+
+    spots = F.posexplode(F.slice("signature", 1, BANDS)).alias("band", "value")
+    bands = classes.where(F.col("signature").isNotNull()).select("class", spots).select("class", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "value").alias("spot"))
+    leaders = bands.groupBy("spot").agg(F.min("class").alias("leader"), F.count("*").alias("n_members")).where("n_members > 1")
+    member = keep(hot_join(bands, leaders, "spot", "n_members", BANDS * n_classes, salt="class"))
 
     # Candidates with leaders, in blocks of one leader each.
-    stars = member.where("class <> leader").select("leader", "class").distinct()
-    sizes = stars.groupBy("leader").agg(F.count("*").alias("n"))
-    stars = cut(stars.join(sizes, "leader"))
-    candidates = stars.select(F.col("class").alias("c")).unionByName(stars.select(F.col("leader").alias("c"))).distinct()
-    wanted = classes.join(candidates, F.col("class") == F.col("c"), "left_semi").withColumnRenamed("first", "_key")
-    texts = wanted.join(plain, ["_key", "_hash"]).select("class", "n_shingles", "signature", "text")
-    once = made.agg(F.count("*") == F.count_distinct("_key")).first()[0]
-    texts = store(texts if once else texts.dropDuplicates(["class"]))  # rows that repeat a key may repeat a text
-    part = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK))
-    first = cut(verify(stars.select(F.xxhash64("leader", part("class")).alias("block"), F.col("leader").alias("a"), F.col("class").alias("b")), texts.select("class", "text"), percent, width))
-    joined = components(first, "a", "b")
+    stars = keep(member.where("class <> leader").groupBy("leader", "class").agg(F.max("n_members").alias("n")))
+    candidates = stars.select(F.explode(F.array("class", "leader")).alias("c")).distinct()
+    wanted = classes.join(candidates, F.col("class") == F.col("c"), "left_semi").select(F.col("first").alias("_key"), "_hash", "class")
+    texts = wanted.join(plain, ["_key", "_hash"]).select("class", "text")
+    texts = keep(texts if once else texts.dropDuplicates(["class"]))  # rows that repeat a key may repeat a text
+    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK))
+    first = keep(verify(stars.select(F.xxhash64("leader", part).alias("block"), F.col("leader").alias("a"), F.col("class").alias("b")), texts, percent, width))
+    joined = components(first, "a", "b", keep)
 
     # Bands that still hold several components, searched in blocks.
-    placed = member.where("n_members > 2").join(joined, F.col("class") == F.col("vertex"), "left").select("band", "value", "leader", "n_members", "class", F.coalesce("component", "class").alias("component"))
-    several = placed.groupBy("band", "value").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l <> _h").select("band", "value")
-    open_bands = placed.join(several, ["band", "value"]).join(texts, "class")
-    second = cross_links(open_bands, percent, width)
-
-    # Different texts under one key are one document.
-    repeated = made.groupBy("_key").agg(F.min("class").alias("a"), F.max("class").alias("_h")).where("a <> _h").select("_key", "a")
-    tied = made.select("_key", F.col("class").alias("b")).join(repeated, "_key").select("a", "b")
-
-    final = components(first.unionByName(second).unionByName(tied), "a", "b")
-    named = final.join(classes.select("class", "first"), F.col("vertex") == F.col("class"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
-    by_class = named.join(smallest, "component").select("class", "smallest")
-    every = classes.join(by_class, "class", "left").select("class", F.coalesce("smallest", "first").alias("component_id"))
-    out = rows.join(every, "class", "left").select("_key", "n_shingles", "component_id")
-    component = F.when(F.col("_key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "_key"))
+    placed = member.where("n_members > 2").join(joined, F.col("class") == F.col("vertex"), "left").select("spot", "band", "leader", "class", F.coalesce("component", "class").alias("component"))
+    several = placed.groupBy("spot").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("n_members")).where("_l <> _h").select("spot", "n_members")
+    open_bands = keep(hot_join(placed, several, "spot", "n_members", BANDS * n_classes, salt="class").join(with_sketch(classes), "class"))
+    more = cross_links(open_bands, texts, percent, width, keep)
+    if not once:  # different texts under one key are one document
+        same = made.join(repeated, "_key").join(classes.select("digest", "class"), "digest").select("_key", "class").distinct()
+        more = more.unionByName(same.join(same.groupBy("_key").agg(F.min("class").alias("b")), "_key").select(F.col("class").alias("a"), "b"))
+
+    # Links between components, and each component's smallest key.
+    label = lambda e, c: e.join(joined, F.col(c) == F.col("vertex"), "left").withColumn(c, F.coalesce("component", c)).drop("vertex", "component")
+    merged = components(label(label(more, "a"), "b"), "a", "b", keep)
+    sizes = joined.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "vertex")
+    merged = merged.join(sizes, "vertex", "left").select(F.col("vertex").alias("class"), "component", F.coalesce("n", F.lit(1)).alias("n"))
+    named = hot_join(label(classes.select("digest", "first", "copies", "class"), "class"), merged, "class", "n", n_classes, "left", salt="digest").select("digest", "first", "copies", F.coalesce("component", "class").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("smallest"), F.count("*").alias("n"))
+    by_class = hot_join(named, smallest, "component", "n", n_classes, salt="digest").select("digest", "copies", "smallest")
+    out = hot_join(rows.select("_key", "n_shingles", "digest"), keep(by_class), "digest", "copies", n_rows, "left", salt="_key")
+    component = F.when(F.col("_key").isNull(), F.lit(None)).otherwise(F.coalesce("smallest", "_key"))
     return out.select(F.col("_key").alias(key), "n_shingles", component.cast(id_type(docs, key)).alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
