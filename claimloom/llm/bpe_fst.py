@@ -12,7 +12,6 @@ themselves.
 from __future__ import annotations
 
 import base64
-import gc
 import json
 from collections.abc import Callable
 
@@ -62,14 +61,6 @@ class Merges:
         return parts
 
 
-class _State:
-    __slots__ = ("arcs", "guesses", "tail")
-
-    def __init__(self, guesses: tuple):
-        self.guesses, self.arcs = guesses, {}
-        self.tail = next((tokens[1:] for tokens, node in guesses if node == 0), ())
-
-
 class PieceMemo(dict):
     """Answers by pre-token. The machine restarts at every pre-token, so an answer is the composite
     arc from its start state over the whole pre-token. Two generations of at most `limit` answers: a
@@ -118,7 +109,6 @@ class Transducer:
             self.token_at[node] = i
         self.spines: dict[int, tuple] = {}
         self.fits: dict[int, bool] = {}
-        gc.disable()  # millions of small long-lived objects without cycles to free
         self.states: dict[tuple, _State] = {}
         self.start = _State((((-1,), 0),), ())
 
