@@ -9,7 +9,7 @@ scored where it lies, without a shuffle.
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
@@ -75,7 +75,8 @@ def base_failed(base: np.ndarray) -> np.ndarray:
 @dataclass
 class Trees:
     """Node arrays of all trees: rows go left where the feature is at most the cut. A leaf points at
-    itself. floor: rows whose score is below it are refused."""
+    itself. floor: rows whose score is below it are refused; bad_caught and good_kept: shares of the held-out
+    rows of each label that are refused and pass."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -86,6 +87,8 @@ class Trees:
     depth: int
     start: float
     floor: float = 0.0
+    bad_caught: float = 0.0
+    good_kept: float = 1.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of good quality."""
@@ -101,9 +104,9 @@ class Trees:
 NO_TREES = Trees(*(np.zeros(0, np.int64) for _ in range(6)), depth=0, start=0.0)
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 5.0, keep: float = 0.998) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 5.0) -> Trees:
     """Histogram boosting; splits whose sides would stand against MONOTONE are not made, and the
-    bound between them holds below. keep: the floor lets this share of good rows pass."""
+    bound between them holds below."""
     if len(y) == 0 or y.min() == y.max():
         return NO_TREES
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -150,10 +153,17 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
         roots.append(grow(np.arange(len(y)), p - y, p * (1 - p), 0, -np.inf, np.inf))
         tree = flat(nodes[first:], [0], depth, 0.0, first)
         score += tree.value[descend(tree, x)]
-    out = flat(nodes, roots, depth, start)
-    good = np.sort(out.score(x[y > 0.5]))
-    out.floor = float(min(0.5, good[int((1 - keep) * len(good))]))
-    return out
+    return flat(nodes, roots, depth, start)
+
+
+def with_floor(trees: Trees, x: np.ndarray, y: np.ndarray, keep: float = 0.998) -> Trees:
+    """trees with the floor (at most a half) that lets this share of good rows pass, of rows that trained none
+    of them, and what it does with both kinds of those rows."""
+    good, bad = (np.sort(trees.score(x[y == label])) for label in (1, 0))
+    if len(trees.roots) and len(good):
+        floor = float(min(0.5, good[int((1 - keep) * len(good))]))
+        return replace(trees, floor=floor, good_kept=float((good >= floor).mean()), bad_caught=float((bad < floor).mean()) if len(bad) else 0.0)
+    return trees
 
 
 def flat(nodes: list[list[float]], roots: list[int], depth: int, start: float, offset: int = 0) -> Trees:
@@ -168,15 +178,17 @@ def descend(tree: Trees, x: np.ndarray) -> np.ndarray:
     return at
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 8000) -> Trees:
-    """Trees from the labelled rows with the smallest hashes of their key, at most max_rows of them.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 8000, held_out: int = 5) -> Trees:
+    """Trees from the labelled rows with the smallest hashes of their key, at most max_rows of them; every
+    held_out-th of these trains no tree but sets the floor.
 
     Only their features come to the driver. Labels other than 0 and 1, null keys and unlabelled or
-    missing documents do not train; a repeated key trains with each of its rows. Without both classes
-    there are no trees and every score is 1.
+    missing documents do not train; of a repeated key one row does, that of the smallest text and label.
+    Without both classes there are no trees and every score is 1.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("double").alias("_y")).orderBy(F.xxhash64(key), key, "_y").limit(max_rows)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key)
+    rated = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(F.col(label).cast("double")).alias("_y"))
+    chosen = rated.orderBy(F.xxhash64(key), key).limit(max_rows)
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "_y").agg(F.min(text).alias(text))
 
     def make():
         def work(texts):
@@ -185,12 +197,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
         return work
 
-    sample = map_texts(rows, ["_y"], text, make, [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("bad", T.BooleanType())]).where(~F.col("bad")).limit(4 * max_rows).toArrow()
+    sample = map_texts(rows.withColumn("_held", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(held_out)) == 0), ["_y", "_held"], text, make, [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("bad", T.BooleanType())]).where(~F.col("bad")).toArrow()
     if not sample.num_rows:
         return NO_TREES
-    x, y = np.array(sample.column("x").to_pylist()), np.array(sample.column("_y").to_pylist())
+    x, y, held = np.array(sample.column("x").to_pylist()), np.array(sample.column("_y").to_pylist()), np.array(sample.column("_held").to_pylist())
     order = np.lexsort((*x.T, y))  # the same trees whatever order rows come in
-    return boost(x[order], y[order])
+    x, y, held = x[order], y[order], held[order]
+    return with_floor(boost(x[~held], y[~held]), x[held], y[held])
 
 
 def judge(docs: DataFrame, trees: Trees, keys: list[str], text: str = "text") -> DataFrame:
