@@ -1,11 +1,12 @@
 """License scans with a positional index of rare licence words.
 
-Templates are short notices with a label and phrases that must stand in the text for the label to be
-given. Word rarity (IDF) over the licence vocabulary is counted over all documents; each template is
-indexed by its rarest words with their positions. In a file those words are looked up, and each occurrence
-votes for a template at a relative position; where two or more words of a template agree within a small
-slack, its key phrases are verified around that place. Places of the base phrases are counted beside that and label
-on their own.
+Templates are licence notices with a label and phrases that must stand in the text for the label to be
+given. Word rarity (IDF) over the licence vocabulary is counted over all documents; every word of every
+template is indexed with its positions. In a file the licence words it has are looked up, those of highest
+IDF first, until each template that its words allow has been asked for by enough of them. Each occurrence
+votes for a template at a relative position; where two or more words agree within a small slack, the
+template's key phrases are verified around that place. Places of the base phrases are counted beside that and
+label on their own.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0|mozilla public license version 2 0|mozilla public license 2 0"]),
     ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ["eclipse public license 2 0|eclipse public license v2 0"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented", ["permission is granted to anyone to use this software for any purpose", "the origin of this software must not be misrepresented"]),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["free of charge to any person or organization", "accompanying documentation covered by this license"]),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("wtfpl", "do what the fuck you want to public license everyone is permitted to copy and distribute verbatim or modified copies of this license document", ["do what the fuck you want to public license"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["agreed to in writing software distributed under the license is distributed on an as is basis"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["this permission notice shall be included in all copies or substantial portions of the software"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0|creative commons zero"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0|creative commons attribution 4 0"]),
@@ -50,8 +57,8 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0|creative commons attribution noncommercial 4 0"]),
     ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ["cc by nd 4 0|creative commons attribution noderivatives 4 0"]),
 ]
-#: Rarest words by which a template is indexed; how far votes may differ; words around a place to verify in.
-RARE, SLACK, AROUND = 4, 3, 4
+#: Words by which a file asks for a template; how far votes may differ; words around a place to verify in.
+ASKING, SLACK, AROUND = 8, 3, 4
 PARTING = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -73,42 +80,53 @@ class Template:
 @dataclass
 class Index:
     templates: list[Template]
-    postings: dict[bytes, list[tuple[int, int]]]  # word: (template, position)
+    idf: dict[bytes, float]
+    postings: dict[bytes, dict[int, list[int]]]  # word: positions by template
     starts: dict[bytes, list[tuple[list[bytes], str]]]  # base phrases by first word
 
     @classmethod
     def build(cls, frequency: dict[bytes, int], documents: int) -> Index:
         """frequency: in how many documents each licence word occurs."""
-        idf = lambda w: math.log((1 + documents) / (1 + frequency.get(w, 0)))
-        templates, postings = [], defaultdict(list)
+        templates, postings = [], defaultdict(lambda: defaultdict(list))
         for n, (label, notice, phrases) in enumerate(TEMPLATES):
             words = [w.encode() for w in notice.split()]
             templates.append(Template(label, words, [[[w.encode() for w in a.split()] for a in p.split("|")] for p in phrases]))
-            for w in sorted(set(words), key=lambda w: (-idf(w), w))[:RARE]:
-                postings[w] += [(n, i) for i, x in enumerate(words) if x == w]
+            for i, w in enumerate(words):
+                postings[w][n].append(i)
         starts = defaultdict(list)
         for phrase, label in BASE.items():
             p = [w.encode() for w in phrase.split()]
             starts[p[0]].append((p, label))
-        return cls(templates, dict(postings), dict(starts))
+        return cls(templates, {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in postings}, {w: dict(x) for w, x in postings.items()}, dict(starts))
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         """n_words, n_base, first_word, last_word, base_labels, labels, score of a text."""
         words = words_of(text)
-        looked = (self.postings.keys() | self.starts.keys()).intersection(words)
-        if not looked:
+        held = set(words)
+        # Templates whose key phrases' words the file has at all.
+        open_ = {n for n, t in enumerate(self.templates) if all(any(held.issuperset(p) for p in options) for options in t.phrases)}
+        looked = self.starts.keys() & held
+        asked: dict[bytes, list[int]] = {}
+        if open_:
+            count = dict.fromkeys(open_, 0)
+            for w in sorted(self.postings.keys() & held, key=lambda w: (-self.idf[w], w)):
+                if asks := [n for n in self.postings[w] if count.get(n, ASKING) < ASKING]:
+                    asked[w] = asks
+                    for n in asks:
+                        count[n] += 1
+        if not looked and not asked:
             return len(words), 0, None, None, "", "", 0.0
         starts, base = [], set()
         votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         for i, w in enumerate(words):
-            if w not in looked:
-                continue
-            for phrase, label in self.starts.get(w, ()):
-                if words[i : i + len(phrase)] == phrase:
-                    starts.append(i)
-                    base.add(label)
-            for n, at in self.postings.get(w, ()):
-                votes[n].append((i - at, w))
+            if w in looked:
+                for phrase, label in self.starts[w]:
+                    if words[i : i + len(phrase)] == phrase:
+                        starts.append(i)
+                        base.add(label)
+            if w in asked:
+                for n in asked[w]:
+                    votes[n] += [(i - at, w) for at in self.postings[w][n]]
         labels, score = set(base), 1.0 if base else 0.0
         for n, cast in votes.items():
             t = self.templates[n]
