@@ -23,6 +23,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the trees fitted on the labels of those that are left."""
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
     return choose(docs, "text", lambda d, keys, text: quality.judge(d, trees, keys, text).where("kept"))
 
@@ -34,10 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, key="surrogates").select(*docs.columns)
+    """Every entity replaced by its surrogate; all other columns as they were."""
+    return pii.pseudonymise(docs, key="surrogates", count=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0, memo=120_000, batch_chars=500_000)  # workers that ran the other stages have less room
 
 
