@@ -71,6 +71,11 @@ def one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(kept, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def snippet(c: Column, n: int) -> Column:
     """The first n characters, cut back to a word end where that cuts a word."""
     head = F.regexp_replace(F.substring(c, 1, n + 1), r"(?U)\s+\S*\z", "")

@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import gaps as GAPS
 from ..functions import matching as M
 from ..functions import text as X
+from ..operators import gaps as GAPS
 from ..sources import records as R
 from ..stages import cut
 
@@ -249,12 +249,12 @@ def quote_rules(entries: DataFrame, pages: DataFrame) -> DataFrame:
     alone = each_page.groupBy("paper_key", "rank", "pos", "label").agg(F.min("page").alias("page"))
     out.append(collect(alone, [when("V-47", F.lit(True), F.concat("label", F.lit(".page")), F.concat(F.lit("the quote is on page "), "page", F.lit(" alone")))], place=["rank", "pos"]))
 
-    gapped = rows.where(F.col("page_text").isNotNull() & F.col("quote").rlike(r"\[(?:\.\.\.|…)\]")).withColumn("gap", GAPS.gap_verdict("quote", "page_text"))
+    gapped = GAPS.verdicts(rows.where(F.col("page_text").isNotNull() & F.col("quote").rlike(r"\[(?:\.\.\.|…)\]")), ["paper_key", "rank", "pos", "label"], "quote", "page_text")
     at = F.concat("label", F.lit(".quote"))
     out.append(collect(gapped, [
-        when("V-44", F.col("gap.heading").isNotNull(), at, F.concat(F.lit("a gap skips the heading "), "gap.heading")),
-        when("V-45", F.col("gap.heading").isNull() & F.col("gap.two_rows"), at, "starts in one row of a table and ends in another"),
-        when("V-46", F.col("gap.heading").isNull() & ~F.col("gap.two_rows") & F.col("gap.prose").isNotNull(), at, F.concat(F.lit("a gap skips running text: "), "gap.prose")),
+        when("V-44", F.col("heading").isNotNull(), at, F.concat(F.lit("a gap skips the heading "), "heading")),
+        when("V-45", F.col("heading").isNull() & F.col("two_rows"), at, "starts in one row of a table and ends in another"),
+        when("V-46", F.col("heading").isNull() & ~F.col("two_rows") & F.col("prose").isNotNull(), at, F.concat(F.lit("a gap skips running text: "), "prose")),
     ], place=["rank", "pos"]))
 
     lost = asked.where("not on")
@@ -262,7 +262,7 @@ def quote_rules(entries: DataFrame, pages: DataFrame) -> DataFrame:
     singles = pages.select("paper_key", F.lit(0).alias("wide"), "page", F.col("page").cast("string").alias("name"), "text")
     pairs = R.page_spans(pages.select("paper_key", F.col("page").alias("lo"), (F.col("page") + 1).alias("hi")), pages).where("page_text is not null").select("paper_key", F.lit(1).alias("wide"), F.col("lo").alias("page"), F.concat("lo", F.lit("-"), "hi").alias("name"), F.col("page_text").alias("text"))
     everywhere = lost.join(singles.unionByName(pairs), "paper_key")
-    tried = everywhere.withColumn("there", M.quote_on("quote", "text")).withColumn("far", M.quote_on_any_gap("quote", "text"))
+    tried = everywhere.withColumn("there", M.quote_on("quote", "text")).withColumn("far", M.quote_on_any_gap(F.when(~F.col("there"), F.col("quote")), "text"))
     best = lambda c: F.min(F.when(F.col(c), F.struct("wide", "page", "name")))
     found = tried.groupBy(*key).agg(best("there").alias("there"), best("far").alias("far"), F.max(_digit_dropped(F.col("quote"), F.col("text"))).alias("name"))
     where = F.concat("label", F.lit(".quote"))
