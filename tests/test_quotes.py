@@ -3,6 +3,7 @@
 import pytest
 
 from claimloom.functions import matching as M
+from claimloom.operators import entries as E
 from claimloom.plans import catalogue
 
 PLAIN = "Remote caching halves the median build time without increasing failures of builds"
@@ -40,3 +41,16 @@ def test_tolerant_quotes_equal_brute_force(spark, tmp_path):
 def test_anchors_of_a_key_are_among_those_of_what_contains_it(key):
     assert len(M.anchors(key)) and set(M.anchors(key)) <= set(M.anchors("xyz" + key + "zyxw"))
     assert not len(M.anchors(key[: M.ANCHORED - 1]))
+
+
+def test_contained_against_all_pairs(spark):
+    needles = ["b cd e", "cd", "d\ne", "bcdef", "x", "  ", "", None, "a  b c", "b c", "e f zzz g", "ef", "Straße", " a b", "a b ", "cd"]
+    texts = ["a b cd e f", "a bcdef g", "d\ne", "cd", "", None, "a  b c", "Hauptstraße Straßen", "x" * 5000 + " bcdefg", "a b ", "a b cd e f"]
+    n = spark.createDataFrame(list(enumerate(needles)), "n int, needle string")
+    h = spark.createDataFrame(list(enumerate(texts)), "h int, text string")
+    want = sorted((i, j) for i, q in enumerate(needles) for j, t in enumerate(texts) if q and q.strip(" ") and t is not None and q in t)
+    assert sorted(map(tuple, E.contained(n, h, ("n", "needle"), ("h", "text")).collect())) == want
+    long = n.where("size(split(needle, ' ')) > 2")  # no short ones: the vocabulary isn't made
+    assert sorted(map(tuple, E.contained(long, h, ("n", "needle"), ("h", "text")).collect())) == [p for p in want if len(needles[p[0]].split(" ")) > 2]
+    assert E.contained(n.limit(0), h, ("n", "needle"), ("h", "text")).count() == 0
+    assert E.contained(n, h.limit(0), ("n", "needle"), ("h", "text")).count() == 0
