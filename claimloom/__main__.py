@@ -19,10 +19,10 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("claimloom").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
 
 
-def load(spark: SparkSession, folders: list[str]) -> tuple[DataFrame, DataFrame]:
+def load(spark: SparkSession, folders: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     from .sources import records as R
 
-    return R.read_records(spark, [f"{f}/claims.json" for f in folders]), R.read_texts(spark, [f"{f}/text.txt" for f in folders])
+    return R.read_records(spark, [f"{f}/claims.json" for f in folders]), R.read_texts(spark, [f"{f}/text.txt" for f in folders]), R.read_pdfs_beside(spark, folders)
 
 
 def told(table: DataFrame, mark: str) -> int:
@@ -68,10 +68,10 @@ def validate(args: argparse.Namespace) -> int:
     from .plans.advise import advise
     from .plans.validate import validate as problems
 
-    records, texts = load(session(), args.folder)
-    if told(problems(records, texts), "PROBLEM"):
+    records, texts, files = load(session(), args.folder)
+    if told(problems(records, texts, files), "PROBLEM"):
         return 1
-    told(advise(records, texts), "WARNING")
+    told(advise(records, texts, files), "WARNING")
     print("VALID")
     return 0
 
@@ -82,8 +82,8 @@ def render(args: argparse.Namespace) -> int:
     from .plans.validate import validate as problems
     from .sources import records as R
 
-    records, texts = load(session(), args.folder)
-    if told(problems(records, texts), "PROBLEM"):
+    records, texts, files = load(session(), args.folder)
+    if told(problems(records, texts, files), "PROBLEM"):
         return 1
     folder_of = {Path(f).name: Path(f) for f in args.folder}
     for r in markdown(records).toLocalIterator():
@@ -115,10 +115,10 @@ def site(args: argparse.Namespace) -> int:
     from .plans.validate import validate as problems
     from .sources import records as R
 
-    records, texts = load(session(), args.folder)
+    records, texts, files = load(session(), args.folder)
     parsed = R.parse(records)
     ids = parsed.select("paper_key", F.try_variant_get("v", "$.paper.id", "string").alias("paper_id"))
-    bad = told(problems(records, texts), "PROBLEM")
+    bad = told(problems(records, texts, files), "PROBLEM")
     for c in G.collisions(ids).toLocalIterator():
         print(f"PROBLEM {', '.join(c.records)}: the same paper id but for case")
         bad += 1

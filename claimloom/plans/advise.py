@@ -1,7 +1,7 @@
 """What a valid record's checker should look at. Advisories never refuse a record.
 
-Rows have the form of validate's problems. Rules are numbered A-01 to A-32; A-05, which lists a
-folder, is the reader's.
+Rows have the form of validate's problems. Rules are numbered A-01 to A-32; A-05 needs the
+PDF files beside the records.
 """
 
 from __future__ import annotations
@@ -243,11 +243,20 @@ def _parts(entries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def advise(records: DataFrame, texts: DataFrame) -> DataFrame:
-    """All advisories of valid (paper_key, raw) records with (paper_key, text) page texts."""
+def _strays(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """A-05. Names count as the same whatever their case, as on many file systems."""
+    pdf = F.try_variant_get("v", "$.paper.pdf", "string")
+    named = parsed.select("paper_key", F.element_at(F.split(pdf, "/", -1), -1).alias("pdf")).where(filled("pdf"))
+    others = named.join(files, "paper_key").where(F.lower("name") != F.lower("pdf")).groupBy("paper_key", "pdf").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return collect(others, [when("A-05", F.lit(True), "paper.pdf", F.concat(F.lit("names "), "pdf", F.lit(", and beside it stands "), F.array_join("names", ", ")))])
+
+
+def advise(records: DataFrame, texts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """All advisories of valid (paper_key, raw) records with (paper_key, text) page texts, and of the
+    (paper_key, name, sha256) PDF files beside them."""
     parsed = cut(R.parse(records))
     lines = cut(R.text_lines(texts))
     pages = cut(R.pages(lines))
     entries = cut(R.entries(parsed).withColumn("quote_key", F.when(filled("quote"), M.quote_key("quote"))).withColumn("states_key", F.when(filled("states"), M.quote_key("states"))))
-    parts = [_title(parsed, pages, R.provenance(texts)), _sections(entries, lines, pages), _quotes(entries, pages), _reasons(entries), _support(entries), _sentences(entries), _parts(entries)]
+    parts = [*([_strays(parsed, files)] if files is not None else []), _title(parsed, pages, R.provenance(texts)), _sections(entries, lines, pages), _quotes(entries, pages), _reasons(entries), _support(entries), _sentences(entries), _parts(entries)]
     return reduce(DataFrame.unionByName, [p.withColumn("phase", F.lit(i)) for i, p in enumerate(parts)]).select("paper_key", "rule", "label", "message", F.struct("phase", "at", "n").alias("ord"))

@@ -2,8 +2,8 @@
 
 Every rule is a row-local predicate, a lookup of ids, or a grouped condition over all records at once;
 nothing runs record by record. A problem is (paper_key, rule, label, message, ord): ord follows list,
-entry and rule. Rules are numbered V-01 to V-87; files that are absent or unreadable (V-01 to V-03,
-V-06, V-07) are the reader's errors.
+entry and rule. Rules are numbered V-01 to V-87; folders that are absent and files that can't be read
+(V-01, V-06, V-07) are the reader's errors.
 """
 
 from __future__ import annotations
@@ -56,6 +56,18 @@ def _fields(v: Column, name: str, label: Column | str) -> list[Column]:
     ]
 
 
+def file_rules(records: DataFrame, texts: DataFrame, files: DataFrame | None) -> DataFrame:
+    """V-02, V-03 and, where the PDF files beside the records are given, V-11."""
+    keys = lambda df, mark: df.select("paper_key").distinct().withColumn(mark, F.lit(True))
+    both = keys(records, "has_record").join(keys(texts, "has_text"), "paper_key", "full")
+    out = collect(both, [when("V-02", F.col("has_text").isNull(), "text", "there is no text of this record"), when("V-03", F.col("has_record").isNull(), "record", "there is no record of this text")])
+    if files is None:
+        return out
+    named = R.provenance(texts.join(records.select("paper_key"), "paper_key", "left_semi"))
+    beside = named.join(files.withColumnRenamed("name", "src_name"), ["paper_key", "src_name"])
+    return out.unionByName(collect(beside, [when("V-11", F.col("sha256") != F.col("src_sha256"), "text", F.concat("src_name", F.lit(" beside the record is not the file that the text was extracted from")))]))
+
+
 def record_rules(parsed: DataFrame) -> DataFrame:
     """V-04, V-05, V-08, V-13, V-14, V-31 to V-33."""
     v = F.col("v")
@@ -283,15 +295,16 @@ def _digit_dropped(quote: Column, page: Column) -> Column:
     return F.get(F.array_sort(cut_short), F.lit(0))
 
 
-def validate(records: DataFrame, texts: DataFrame) -> DataFrame:
+def validate(records: DataFrame, texts: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """All problems of (paper_key, raw) records with (paper_key, text) page texts, in order of `ord`.
 
-    A record without any is valid. Records that are no JSON object get no other problems.
+    A record without any is valid. Records that have no text, or are no JSON object, get no other problems.
+    files holds the (paper_key, name, sha256) of PDF files beside the records.
     """
-    parsed = cut(R.parse(records))
+    parsed = cut(R.parse(records.join(texts.select("paper_key"), "paper_key", "left_semi")))
     pages = cut(R.pages(R.text_lines(texts)))
     rows = R.entries(parsed.where(R.kind(F.col("v"), "$").startswith("OBJECT")))
     entries = cut(rows.withColumn("quote_key", F.when(filled("quote"), M.quote_key("quote"))).withColumn("states_key", F.when(filled("states"), M.quote_key("states"))))
-    parts = [record_rules(parsed), paper_rules(parsed, pages, R.provenance(texts)), raw_rules(records), entry_rules(entries), reference_rules(entries), sentence_rules(entries), quote_rules(entries, pages)]
+    parts = [file_rules(records, texts, files), record_rules(parsed), paper_rules(parsed, pages, R.provenance(texts)), raw_rules(records), entry_rules(entries), reference_rules(entries), sentence_rules(entries), quote_rules(entries, pages)]
     ranked = [p.withColumn("phase", F.lit(i)) for i, p in enumerate(parts)]
     return reduce(DataFrame.unionByName, ranked).select("paper_key", "rule", "label", "message", F.struct("phase", "at", "n").alias("ord"))

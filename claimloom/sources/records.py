@@ -68,6 +68,12 @@ def read_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(_folder(F.input_file_name()).alias("paper_key"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
+def read_pdfs_beside(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(paper_key, name, sha256) of the PDF files in records' folders."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folders)
+    return files.select(_folder(F.col("path")).alias("paper_key"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
 def parse(records: DataFrame) -> DataFrame:
     """records with v, the parsed record; null where it isn't UTF-8 or JSON. Of repeated keys the last counts."""
     records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
