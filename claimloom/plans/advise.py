@@ -149,20 +149,26 @@ def _reasons(entries: DataFrame) -> DataFrame:
 
 def _sum_differs(note: Column) -> Column:
     """Some whole that a note names, with two or more values after it that add up to something else."""
-    wholes = F.regexp_extract_all(note, F.lit(PARTS_OF), F.lit(1))
-    rests = F.slice(F.split(note, PARTS_OF, -1), F.lit(2), F.size(wholes))
+    named, wholes = (F.regexp_extract_all(note, F.lit(PARTS_OF), F.lit(g)) for g in (0, 1))
+    texts = F.split(note, PARTS_OF, -1)  # before the first whole, between them, after the last one
     number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+    size = lambda array: F.aggregate(array, F.lit(0), lambda a, x: a + F.length(x))
 
-    def differs(whole: Column, rest: Column) -> Column:
-        clean = rest
+    def hedged(i: Column) -> Column:
+        """Whether the sentence around the whole says that some parts are missing."""
+        at = size(F.slice(texts, F.lit(1), i + 1)) + size(F.slice(named, F.lit(1), i))
+        before, after = F.substring(note, F.lit(1), at), F.substring(note, at + F.length(F.get(named, i)) + 1, F.length(note))
+        return F.concat(F.regexp_extract(before, r"[^.]*\z", 0), F.get(named, i), F.regexp_extract(after, r"\A[^.]*", 0)).rlike(SOME_MISSING)
+
+    def differs(whole: Column, i: Column) -> Column:
+        clean = F.get(texts, i + 1)
         for pattern in (r"\([^)]*%\)|\b\d[\d,]*(?:\.\d+)?\s*%", r"\b(?:Table|Fig\.|Figure)\s*[\dIVXLC]+|\bpages?\s+[\d-]+", r"(?i)\bpp?\.?\s*\d+(?:\s*[-–]\s*\d+)?\b", r"\b(?:19|20)\d{2}\b", r"[A-Za-z]+-?\d[\d.]*", r"=\s*\d[\d,]*(?:\.\d+)?"):
             clean = F.regexp_replace(clean, pattern, " ")
         parts = F.filter(F.transform(F.regexp_extract_all(clean, F.lit(r"\b\d[\d,]*(?:\.\d+)?\b"), F.lit(0)), number), lambda x: x.isNotNull() & (x != number(whole)))
         total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-        return (F.size(parts) >= 2) & (F.abs(total - number(whole)) > 1e-9)
+        return (F.size(parts) >= 2) & (F.abs(total - number(whole)) > 1e-9) & ~hedged(i)
 
-    hedged = note.rlike(SOME_MISSING)
-    return ~hedged & F.exists(F.zip_with(wholes, rests, differs), lambda x: F.coalesce(x, F.lit(False)))
+    return F.exists(F.transform(wholes, differs), lambda x: F.coalesce(x, F.lit(False)))
 
 
 def _support(entries: DataFrame) -> DataFrame:

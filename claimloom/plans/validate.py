@@ -3,7 +3,7 @@
 Every rule is a row-local predicate, a lookup of ids, or a grouped condition over all records at once;
 nothing runs record by record. A problem is (paper_key, rule, label, message, ord): ord follows list,
 entry and rule. Rules are numbered V-01 to V-87; folders that are absent and files that can't be read
-(V-01, V-06, V-07) are the reader's errors.
+(V-01, V-07) are found by the commands, before any job.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ..sources import records as R
 from ..stages import cut
 
 PROBLEM = "array<struct<rule:string,label:string,message:string>>"
+HALF = "\ufdd0"  # a character of no text
+DEEPEST = 1000  # how far the parser follows arrays and objects in each other
 PUBLISHED = ["claims.json", "claims.md", "claims.html", "text.txt", "index.html"]  # fixed values
 
 
@@ -68,14 +70,22 @@ def file_rules(records: DataFrame, texts: DataFrame, files: DataFrame | None) ->
     return out.unionByName(collect(beside, [when("V-11", F.col("sha256") != F.col("src_sha256"), "text", F.concat("src_name", F.lit(" beside the record is not the file that the text was extracted from")))]))
 
 
+def _depth(raw: Column) -> Column:
+    """How many arrays and objects are open at once, at most."""
+    brackets = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), '"[^"]*"', ""), F.lit(r"[\[\]{}]"), F.lit(0))
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
 def record_rules(parsed: DataFrame) -> DataFrame:
-    """V-04, V-05, V-08, V-13, V-14, V-31 to V-33."""
+    """V-04 to V-06, V-08, V-13, V-14, V-31 to V-33."""
     v = F.col("v")
     is_object = R.kind(v, "$").startswith("OBJECT")
     has = R.keys(v)
     top = F.array(*map(F.lit, R.FIELDS))
     utf8 = F.coalesce(F.is_valid_utf8("raw"), F.lit(True))
-    singles = [when("V-04", ~utf8, "record", "not UTF-8"), when("V-05", utf8 & v.isNull(), "record", "not valid JSON"), when("V-08", ~is_object, "record", "must be an object")]
+    too_deep = F.coalesce(_depth(F.col("raw")) > DEEPEST, F.lit(False))
+    singles = [when("V-04", ~utf8, "record", "not UTF-8"), when("V-05", utf8 & v.isNull() & ~too_deep, "record", "not valid JSON"), when("V-06", utf8 & v.isNull() & too_deep, "record", "is nested too deeply to read"), when("V-08", ~is_object, "record", "must be an object")]
     singles += [when("V-31", is_object & ~R.kind(v, "$.paper").startswith("OBJECT"), "paper", "must be an object")]
     singles += [when("V-32", is_object & ~R.kind(v, f"$.{x}").startswith("ARRAY"), x, "must be a list") for x in R.LISTS]
     arrays = [
@@ -122,9 +132,19 @@ def paper_rules(parsed: DataFrame, pages: DataFrame, sources: DataFrame) -> Data
 
 
 def raw_rules(records: DataFrame) -> DataFrame:
-    """V-21 and V-37: unpaired surrogates, which parsing would hide. One problem a record."""
-    half = r"(?i)\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}"
-    return collect(records, [when("V-21", F.regexp_replace("raw", r"\\\\", "").rlike(half), "record", "must not hold an unpaired surrogate")])
+    """V-21 and V-37: unpaired surrogates, which parsing would hide. Records that have any are parsed once more
+    with HALF in their place; where no field of the paper or of an entry shows it, the record itself is named."""
+    half = r"(?i)(?<!\\)((?:\\\\)*)(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f])|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
+    told = "must not hold an unpaired surrogate"
+    shown = cut(R.parse(records.where(F.col("raw").rlike(half)).withColumn("raw", F.regexp_replace("raw", half, "$1" + HALF))))
+    bad = lambda v: F.map_keys(F.map_filter(F.coalesce(F.from_json(F.to_json(v), "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, x: F.contains(k, F.lit(HALF)) | F.coalesce(F.contains(x, F.lit(HALF)), F.lit(False))))
+    plain = lambda c: F.replace(c, F.lit(HALF), F.lit("\ufffd"))
+    named = lambda rule, v, label: F.transform(F.array_sort(bad(v)), lambda f: F.struct(F.lit(rule).alias("rule"), F.concat(label, F.lit("."), plain(f)).alias("label"), F.lit(told).alias("message")))
+    is_object = lambda v, path: R.kind(v, path).startswith("OBJECT")
+    paper = collect(shown, [], [F.when(is_object(F.col("v"), "$.paper"), named("V-21", F.try_variant_get("v", "$.paper", "variant"), F.lit("paper")))])
+    entries = collect(R.entries(shown), [], [F.when(is_object(F.col("e"), "$"), named("V-37", F.col("e"), plain(F.col("label"))))], ["rank", "pos"])
+    found = cut(paper.unionByName(entries))
+    return found.unionByName(collect(shown.join(found.select("paper_key"), "paper_key", "left_anti"), [when("V-21", F.lit(True), "record", told)]))
 
 
 def entry_rules(entries: DataFrame) -> DataFrame:
