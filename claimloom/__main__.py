@@ -1,5 +1,5 @@
 """python -m claimloom check-env | extract PDF... --out DIR | validate DIR... | render DIR... | schema [--out FILE]
-| site DIR... --out DIR
+| site DIR... --out DIR [--definitions FILE]
 
 Ends with 0 if all is well, 1 for an invalid or unsettled record, 2 for wrong use, 3 for a missing program.
 Every command takes all its records in one job.
@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+STAGED, ABANDONED = ".staged-", 3600  # a build's own folder, and the seconds after which it is nobody's
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("claimloom").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
 
@@ -103,50 +108,99 @@ def render(args: argparse.Namespace) -> int:
 
 def site(args: argparse.Namespace) -> int:
     """All records or none: everything is checked and built aside before the first file is published, and
-    the index goes last."""
+    the index goes last. Pages of papers that are no longer given stay and are named."""
     import shutil
     import tempfile
 
     from pyspark.sql import functions as F
 
     from .operators import record_model as G
-    from .plans.page import html, index_html
+    from .plans import page
+    from .plans.advise import advise
+    from .plans.definitions import definitions
     from .plans.render import markdown
     from .plans.validate import validate as problems
     from .sources import records as R
+    from .stages import cut
 
-    records, texts, files = load(session(), args.folder)
+    spark, out = session(), Path(args.out)
+    if out.exists() and not out.is_dir():
+        print(f"PROBLEM {out} is no folder")
+        return 2
+    records, texts, files = load(spark, args.folder)
     parsed = R.parse(records)
-    ids = parsed.select("paper_key", F.try_variant_get("v", "$.paper.id", "string").alias("paper_id"))
-    bad = told(problems(records, texts, files), "PROBLEM")
-    for c in G.collisions(ids).toLocalIterator():
+    ids = parsed.select("paper_key", F.try_variant_get("v", "$.paper.id", "string").alias("paper_id"), F.try_variant_get("v", "$.paper.pdf", "string").alias("pdf"))
+    name = {r.paper_key: (r.paper_id, r.pdf) for r in ids.toLocalIterator()}
+    refused = set()
+    for c in G.collisions(ids.select("paper_key", "paper_id")).toLocalIterator():
         print(f"PROBLEM {', '.join(c.records)}: the same paper id but for case")
-        bad += 1
+        refused |= set(c.records)
+    wrong = cut(problems(records, texts, files))
+    if told(wrong, "PROBLEM"):
+        refused |= {r.paper_key for r in wrong.select("paper_key").distinct().toLocalIterator()}
     for u in G.unsettled(R.entries(parsed)).toLocalIterator():
         print(f"UNSETTLED {u.paper_key} {u.label}")
-        bad += 1
-    if bad:
+        refused.add(u.paper_key)
+    if refused:
+        for key in sorted(refused):
+            old = out / (name.get(key, (None,))[0] or "") / "claims.html"
+            if old.parent != out and old.is_file():
+                print(f"WARNING {old} is still published as the last build left it")
         return 1
-    out = Path(args.out)
+    told(advise(records, texts, files), "WARNING")
+
     out.mkdir(parents=True, exist_ok=True)
-    staged = Path(tempfile.mkdtemp(prefix=".staged-", dir=out))
-    name = {r.paper_key: r.paper_id for r in ids.toLocalIterator()}
-    republished = records.select("paper_key", "raw").toLocalIterator()
-    for kind, rows in (("claims.html", html(records).toLocalIterator()), ("claims.md", markdown(records).toLocalIterator()), ("claims.json", republished), ("text.txt", texts.toLocalIterator())):
-        for key, body in rows:
-            if kind == "claims.json":
-                record = {k: v for k, v in json.loads(body).items() if k != "$schema"}
-                body = json.dumps(record, indent=2, ensure_ascii=False) + "\n"
-            (staged / name[key]).mkdir(exist_ok=True)
-            (staged / name[key] / kind).write_text(body, encoding="utf-8")
-    front = index_html(records)
-    shutil.copytree(staged, out, dirs_exist_ok=True)
-    (out / "index.html").write_text(front, encoding="utf-8")
-    shutil.rmtree(staged)
+    for old in out.glob(STAGED + "*"):
+        if time.time() - old.stat().st_mtime > ABANDONED:  # of a build that was stopped
+            shutil.rmtree(old, ignore_errors=True)
+    staged = Path(tempfile.mkdtemp(prefix=STAGED, dir=out))
+    try:
+        republished = records.select("paper_key", "raw").toLocalIterator()
+        for kind, rows in (("claims.html", page.html(records, files).toLocalIterator()), ("claims.md", markdown(records).toLocalIterator()), ("claims.json", republished), ("text.txt", texts.toLocalIterator())):
+            for key, body in rows:
+                if kind == "claims.json":
+                    record = {k: v for k, v in json.loads(body).items() if k != "$schema"}
+                    body = json.dumps(record, indent=2, ensure_ascii=False) + "\n"
+                (staged / name[key][0]).mkdir(exist_ok=True)
+                (staged / name[key][0] / kind).write_text(body, encoding="utf-8")
+        for folder in map(Path, args.folder):
+            paper_id, pdf = name[folder.name]
+            if (folder / pdf).is_file():
+                shutil.copyfile(folder / pdf, staged / paper_id / pdf)
+        if args.definitions:
+            made = spark.createDataFrame([(Path(args.definitions).read_text(encoding="utf-8"),)], "markdown string").select(definitions("markdown")).first()[0]
+            (staged / "definitions").mkdir(exist_ok=True)
+            (staged / "definitions" / "index.html").write_text(page.definitions_html(made), encoding="utf-8")
+        front = page.index_html(records, bool(args.definitions))
+        shutil.copytree(staged, out, dirs_exist_ok=True)
+        (out / "index.html").write_text(front, encoding="utf-8")
+        for paper_id, pdf in name.values():  # what an earlier build published and this one did not
+            if not (staged / paper_id / pdf).exists():
+                (out / paper_id / pdf).unlink(missing_ok=True)
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
+    built = {paper_id for paper_id, _ in name.values()}
+    for old in sorted(p.parent for p in out.glob("*/claims.html") if p.parent.name not in built):
+        print(f"WARNING {old} is still published although the index no longer lists it")
     print(f"written: {out / 'index.html'}")
     return 0
 
 
+def refusals(folders: list[str], *names: str) -> list[str]:
+    """Folders and files that can't be read (V-01, V-07) or are missing."""
+    out = []
+    for folder in map(Path, folders):
+        if not folder.is_dir():
+            out.append(f"PROBLEM {folder.name} V-01: {folder} is no folder")
+            continue
+        for path in (folder / x for x in names):
+            if not path.is_file():
+                out.append(f"MISSING {path}")
+            elif not os.access(path, os.R_OK):
+                out.append(f"PROBLEM {folder.name} V-07: cannot read {path}")
+    return out
+
+
 def schema(args: argparse.Namespace) -> int:
     from .sources.records import schema_json
 
@@ -167,10 +221,14 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument(a, nargs="+")
         if name in ("extract", "schema", "site"):
             p.add_argument("--out", required=name != "schema")
+        if name == "site":
+            p.add_argument("--definitions")
     args = parser.parse_args(argv)
-    missing = [f"{d}/{x}" for d in getattr(args, "folder", []) for x in ("claims.json", "text.txt") if not Path(d, x).is_file()]
-    if missing:
-        print("\n".join(f"MISSING {m}" for m in missing))
+    if missing := refusals(getattr(args, "folder", []), "claims.json", "text.txt"):
+        print("\n".join(missing))
+        return 2
+    if getattr(args, "definitions", None) and not Path(args.definitions).is_file():
+        print(f"MISSING {args.definitions}")
         return 2
     return args.run(args)
 

@@ -31,6 +31,11 @@ def fold_text(text: str) -> str:
     return unicodedata.normalize("NFKC", text).translate(_TABLE)
 
 
+def unmarked(text: str) -> str:
+    """The compatibility form without combining marks (plain Python)."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """fold_text over a column; Spark has no compatibility normalisation. Null stays null."""

@@ -45,8 +45,9 @@ def _gather(rows: DataFrame, order: list[str], name: str, piece: Column) -> Data
     return made.groupBy("paper_key").agg(F.array_join(F.array_sort(F.collect_list(F.struct(*[f"o{i}" for i in range(len(order))], "piece")))["piece"], "").alias(name))
 
 
-def html(records: DataFrame) -> DataFrame:
-    """(paper_key, html) of valid (paper_key, raw) records."""
+def html(records: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(paper_key, html) of valid (paper_key, raw) records; a paper's PDF is linked where files, the
+    (paper_key, name) of those that stand beside the pages, has it."""
     parsed = cut(R.parse(records))
     entries = cut(R.entries(parsed).withColumn("page", F.coalesce("lo", F.lit(0))))
     back = G.reverse_edges(entries)
@@ -83,10 +84,16 @@ def html(records: DataFrame) -> DataFrame:
     page = reduce(lambda d, e: d.join(e, "paper_key", "left"), [G.overview(entries), results, claims, candidates, chart, strip], parsed)
     p = lambda f: esc(F.try_variant_get("v", f"$.paper.{f}", "string"))
     some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    pdf = p("pdf")
+    if files is not None:
+        beside = files.groupBy("paper_key").agg(F.collect_set("name").alias("beside"))
+        page = page.join(beside, "paper_key", "left")
+        raw = F.try_variant_get("v", "$.paper.pdf", "string")
+        pdf = F.when(F.coalesce(F.array_contains("beside", raw), F.lit(False)), cat('<a href="', F.replace(F.url_encode(raw), F.lit("+"), F.lit("%20")), '">', pdf, "</a>")).otherwise(pdf)
     stats = cat(*(x for c, name in [*((x, x.replace("_", " ")) for x in R.LISTS), ("stated_in", "sentences stating a result")] for x in ('<span class="stat"><b>', F.coalesce(F.col(c), F.lit(0)), f"</b> {name}</span>")))
     doi = F.when(p("doi") != "", cat(', DOI <a href="https://doi.org/', p("doi"), '">', p("doi"), "</a>")).otherwise("")
     return page.select("paper_key", cat(
-        '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>', p("title"), f"</title><style>{STYLE}</style></head><body><h1>", p("title"), "</h1><p>", p("id"), ", ", p("pages"), " pages, ", p("pdf"), doi, "</p>",
+        '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>', p("title"), f"</title><style>{STYLE}</style></head><body><h1>", p("title"), "</h1><p>", p("id"), ", ", p("pages"), " pages, ", pdf, doi, "</p>",
         "<p>", stats, '</p><p><input id="find" placeholder="Filter"> <label><input id="noted" type="checkbox"> with a note</label></p>',
         "<h2>Claim map</h2>", some("chart"), "<h2>Sections</h2><table>", some("strip"), "</table><h2>Main results</h2>", some("results_html"), "<h2>Claims</h2>", some("claims_html"), "<h2>Excluded claim candidates</h2>", some("candidates_html"), f"<script>{SCRIPT}</script></body></html>\n",
     ).alias("html"))
@@ -104,9 +111,14 @@ def index(records: DataFrame) -> DataFrame:
     return ranked(rows, [F.lower(F.regexp_replace("title", r"(?U)^[\W_]+", "")).asc(), F.col("paper_id").asc()], "place")
 
 
-def index_html(records: DataFrame) -> str:
+def definitions_html(body: str) -> str:
+    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Definitions</title><style>{STYLE}</style></head><body><p><a href="../index.html">All papers</a></p>{body}</body></html>\n'
+
+
+def index_html(records: DataFrame, defined: bool = False) -> str:
     """The site's front page. Its rows come to the driver one at a time; a site's papers are few."""
     rows = index(records)
     line = cat('<tr><td><a href="', esc(F.col("paper_id")), '/claims.html">', esc(F.col("title")), "</a></td><td>", F.col("main_results"), "</td><td>", F.col("claims"), "</td><td>", F.col("excluded"), "</td><td>", F.col("stated_in"), "</td></tr>")
+    more = '<p><a href="definitions/index.html">Definitions</a></p>' if defined else ""
     body = "".join(r.line for r in rows.orderBy("place").select(line.alias("line")).toLocalIterator())
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Papers</title><style>{STYLE}</style></head><body><h1>Papers</h1><table><tr><th>Paper</th><th>Main results</th><th>Claims</th><th>Excluded</th><th>Sentences</th></tr>{body}</table></body></html>\n'
+    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Papers</title><style>{STYLE}</style></head><body><h1>Papers</h1>{more}<table><tr><th>Paper</th><th>Main results</th><th>Claims</th><th>Excluded</th><th>Sentences</th></tr>{body}</table></body></html>\n'

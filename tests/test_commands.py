@@ -1,4 +1,7 @@
+import hashlib
 import json
+import os
+import time
 
 from claimloom.__main__ import main
 from claimloom.sources import pdf
@@ -22,18 +25,35 @@ def test_commands(spark, tmp_path, capsys):
     unsure = json.loads(json.dumps(RECORD))
     unsure["excluded"][0]["reason"] = "Unsure; describes the data."
     assert main(["render", put(tmp_path / "unsure", unsure)]) == 1
-    assert main(["validate", str(tmp_path / "none")]) == 2
+    capsys.readouterr()
+    assert main(["validate", good, str(tmp_path / "none")]) == 2 and "PROBLEM none V-01" in capsys.readouterr().out
     page = (tmp_path / "good" / "claims.html").read_text()
     assert page.count("<article") == 5 and '<article id="C2">' in page and "stated in 2 sentences" in page and not (tmp_path / "unsure" / "claims.html").exists()
     odd = json.loads(json.dumps(RECORD).replace("Remote Build Caching", "A <b> & 'c'"))
     odd["paper"]["id"] = "odd"
     odd["$schema"] = "x"
-    assert main(["site", good, put(tmp_path / "odd", odd), "--out", str(tmp_path / "site")]) == 0
-    assert "A &lt;b&gt; &amp; &#x27;c&#x27;" in (tmp_path / "site" / "odd" / "claims.html").read_text()
-    assert (tmp_path / "site" / "index.html").read_text().count("/claims.html") == 2 and "$schema" not in json.loads((tmp_path / "site" / "odd" / "claims.json").read_text())
-    assert sorted(p.name for p in (tmp_path / "site").iterdir()) == ["caching", "index.html", "odd"]
+    body, site = b"%PDF", tmp_path / "site"
+    (tmp_path / "good" / "caching.pdf").write_bytes(body)
+    (tmp_path / "good" / "text.txt").write_text(TEXT.replace("a" * 64, hashlib.sha256(body).hexdigest()))
+    (tmp_path / "d.md").write_text("# Terms\nA *claim*.\n")
+    for name in ("gone", "odd", ".staged-old", ".staged-live"):
+        (site / name).mkdir(parents=True)
+    (site / "gone" / "claims.html").write_text("of another build")
+    (site / "odd" / "caching.pdf").write_bytes(b"that this build does not have")
+    os.utime(site / ".staged-old", (time.time() - 7200,) * 2)
+    assert main(["site", good, put(tmp_path / "odd", odd), "--out", str(site), "--definitions", str(tmp_path / "d.md")]) == 0
+    assert "A &lt;b&gt; &amp; &#x27;c&#x27;" in (site / "odd" / "claims.html").read_text()
+    assert (site / "index.html").read_text().count("/claims.html") == 2 and "$schema" not in json.loads((site / "odd" / "claims.json").read_text())
+    assert (site / "caching" / "caching.pdf").read_bytes() == body and '<a href="caching.pdf">' in (site / "caching" / "claims.html").read_text()
+    assert not (site / "odd" / "caching.pdf").exists() and '<a href="caching.pdf">' not in (site / "odd" / "claims.html").read_text()
+    assert '<h1 id="terms">' in (site / "definitions" / "index.html").read_text() and "definitions/" in (site / "index.html").read_text()
+    assert f"WARNING {site / 'gone'} is still published" in capsys.readouterr().out
+    there = [".staged-live", "caching", "definitions", "gone", "index.html", "odd"]
+    assert sorted(p.name for p in site.iterdir()) == there
     odd["paper"]["id"] = "CACHING"
-    assert main(["site", good, put(tmp_path / "twin", odd), "--out", str(tmp_path / "site2")]) == 1 and not (tmp_path / "site2").exists()
+    twin = put(tmp_path / "twin", odd)
+    assert main(["site", good, twin, "--out", str(site)]) == 1 and f"WARNING {site / 'caching' / 'claims.html'} is still" in capsys.readouterr().out
+    assert sorted(p.name for p in site.iterdir()) == there
     assert main(["schema", "--out", str(tmp_path / "s.json")]) == 0 and json.loads((tmp_path / "s.json").read_text())["type"] == "object"
 
 
