@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import record_model as M
+from . import advise as A
+from . import validate as V
+from .definitions import anchors
 
 VIEW = """
 o AS (SELECT CAST(o_custkey AS VARCHAR) AS paper_key, 'R' || left(o_orderpriority, 1) AS r, CAST(left(o_orderpriority, 1) AS INT) AS n, year(o_orderdate) AS y, o_orderkey, o_orderstatus AS st, o_totalprice AS price FROM orders),
@@ -130,3 +133,78 @@ def record_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT paper_key, id FROM ex WHERE n = 5")
 def record_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.matching(entries(spark, sf_dir), "Whether IT").select("paper_key", "id")
+
+
+#: A customer as a record file with its text. Priorities are pages and results, filled orders are claims that serve their
+#: priority, dear ones the next; open orders are excluded, dear ones from the wrong page, urgent ones as
+#: repeats of the next priority.
+FILES = """
+t AS (SELECT CAST(o_custkey AS VARCHAR) AS paper_key, o_custkey AS k, CAST(left(o_orderpriority, 1) AS INT) AS n, o_orderkey AS key, o_orderstatus AS st, o_totalprice AS price FROM orders),
+r AS (SELECT paper_key, k, n, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS pos FROM (SELECT DISTINCT paper_key, k, n FROM t)),
+c AS (SELECT *, CASE WHEN price > 300000 THEN n % 5 + 1 ELSE n END AS served, row_number() OVER (PARTITION BY k ORDER BY key) - 1 AS pos FROM t WHERE st = 'F'),
+x AS (SELECT *, CASE WHEN price > 250000 THEN n % 5 + 1 ELSE n END AS page, row_number() OVER (PARTITION BY k ORDER BY key) - 1 AS pos FROM t WHERE st = 'O')
+"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(paper_key, raw) and (paper_key, text) of all customers."""
+    n = F.substring("o_orderpriority", 1, 1).cast("int")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k"), n.alias("n"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("st"), F.col("o_totalprice").alias("price"))
+    say = lambda form, *c: F.format_string(form, *c)
+    following, n = F.col("n") % 5 + 1, F.col("n")
+    line = say("Order %d came with the status %s.", F.col("key"), F.col("st"))
+    entry = F.when(F.col("st") == "F", say(
+        '{"id": "C%d", "quote": "%s", "states": "%s", "page": %d, "section": "Data", "serves": ["R%d"], "split_from": null, "selection_reason": "R%d rests on what it says."}',
+        F.col("key"), line, line, n, F.when(F.col("price") > 300000, following).otherwise(n), n)).when(F.col("st") == "O", F.concat(
+        say('{"id": "E%d", "quote": "%s", "page": %d, "section": "Data", "reason": "Describes the data."', F.col("key"), line, F.when(F.col("price") > 250000, following).otherwise(n)),
+        F.when(n <= 2, say(', "duplicate_of": ["R%d"]', following)).otherwise(""), F.lit("}")))
+    head = say("Priority %d was asked for by customer %d.", n, F.col("k"))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("key", "line", "entry"))))
+    pages = o.select("*", line.alias("line"), entry.alias("entry")).groupBy("k", "n").agg(listed(F.lit(True)).alias("all"), listed(F.col("st") == "F").alias("claims"), listed(F.col("st") == "O").alias("excluded"))
+    result = say('{"id": "R%d", "quote": "%s", "page": %d, "section": "Results", "source": "%s"}', n, head, n, F.when(n == 5, "other").otherwise("abstract"))
+    page = F.concat_ws("\n", say("=== page %d ===", n), head, F.array_join(F.col("all")["line"], "\n"))
+    together = lambda c: F.array_join(F.array_sort(F.flatten(F.collect_list(c)))["entry"], ", ").alias(c)
+    whole = pages.groupBy("k").agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_list(F.struct("n", result.alias("s"))))["s"], ", ").alias("results"), together("claims"), together("excluded"), F.array_join(F.array_sort(F.collect_list(F.struct("n", page.alias("s"))))["s"], "\n").alias("body"))
+    key = F.col("k").cast("string").alias("paper_key")
+    title = F.when(F.col("k") % 3 == 0, "Another title").otherwise("Priority was asked for by customer")
+    raw = say('{"paper": {"id": "P%d", "title": "%s", "pdf": "p.pdf", "pages": %d}, "main_results": [%s], "claims": [%s], "excluded": [%s]}', F.col("k"), title, F.col("pages") + (F.col("k") % 7 == 0).cast("int"), F.col("results"), F.col("claims"), F.col("excluded"))
+    source = F.when(F.col("k") % 2 == 0, say("=== paper p.pdf sha256:%s ===\n", F.sha2(F.col("k").cast("string"), 256))).otherwise("")
+    return whole.select(key, raw.alias("raw")), whole.select(key, F.concat(source, "body", F.lit("\n")).alias("text"))
+
+
+def problem_sql(sql: str) -> str:
+    return f"WITH {FILES} SELECT paper_key, rule, label, message FROM ({sql})"
+
+
+def record_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.validate(*files(spark, sf_dir)).select("paper_key", "rule", "label", "message")
+
+
+def record_advise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.advise(*files(spark, sf_dir)).select("paper_key", "rule", "label", "message")
+
+
+def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines as headings of one page."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", "\n").alias("lines"))
+    return docs.select("doc_id", F.posexplode(anchors("lines")).alias("line", "anchor")).select("doc_id", F.col("line").cast("long").alias("line"), "anchor")
+
+
+QUERIES |= {f.__name__: f for f in (record_validate, record_advise, heading_anchors)}
+SQL["record_validate"] = problem_sql("""
+SELECT DISTINCT paper_key, 'V-30' AS rule, 'paper.pages' AS label, 'is not the text''s number of pages' AS message FROM t WHERE k % 7 = 0
+UNION ALL SELECT paper_key, 'V-55', 'main_results[' || pos || '] (R5).note', 'source other needs a note' FROM r WHERE n = 5
+UNION ALL SELECT paper_key, 'V-82', 'main_results[' || pos || '] (R' || n || ').note', 'no claim serves this main result; a note must say why' FROM r WHERE (k, n) NOT IN (SELECT (k, served) FROM c)
+UNION ALL SELECT paper_key, 'V-64', 'claims[' || pos || '] (C' || key || ').serves', 'R' || served || ' is not a main result' FROM c WHERE (k, served) NOT IN (SELECT (k, n) FROM r)
+UNION ALL SELECT paper_key, 'V-70', 'excluded[' || pos || '] (E' || key || ').duplicate_of', 'R' || (n + 1) || ' is no entry''s id' FROM x WHERE n <= 2 AND (k, n + 1) NOT IN (SELECT (k, n) FROM r)
+UNION ALL SELECT paper_key, 'V-43', 'excluded[' || pos || '] (E' || key || ').page', 'names a page that the text does not have' FROM x WHERE (k, page) NOT IN (SELECT (k, n) FROM r)
+UNION ALL SELECT paper_key, 'V-48', 'excluded[' || pos || '] (E' || key || ').quote', 'not on page ' || page || ', but on page ' || n FROM x WHERE page <> n AND (k, page) IN (SELECT (k, n) FROM r)""")
+SQL["record_advise"] = problem_sql("""
+SELECT DISTINCT paper_key, 'A-04' AS rule, 'text' AS label, 'names no source paper' AS message FROM t WHERE k % 2 = 1
+UNION ALL SELECT paper_key, 'A-01', 'paper.title', 'page 1 does not print this title' FROM r WHERE n = 1 AND k % 3 = 0
+UNION ALL SELECT paper_key, 'A-12', 'claims[' || pos || '] (C' || key || ').selection_reason', 'names none of the main results it serves' FROM c WHERE served <> n""")
+SQL["heading_anchors"] = """
+WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS title, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM a),
+c AS (SELECT doc_id, line, CASE WHEN s = '' THEN 'h-' || left(sha256(title), 8) ELSE s END AS s FROM b)
+SELECT doc_id, line, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY line) AS n FROM c)"""
