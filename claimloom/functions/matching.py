@@ -80,6 +80,19 @@ def marked_page(text: str) -> str:
     return FOOTNOTE.sub(mark, page)
 
 
+@lru_cache(maxsize=512)
+def plain_page(text: str) -> str:
+    """The folded page with single blanks, and one at either end."""
+    return f" {regex.sub(r'\s+', ' ', fold_text(text)).strip(' ')} "
+
+
+def stands_literally(quote: str, page_text: str) -> bool:
+    """Whether a quote without gaps stands on the page as it is written, between blanks. Then find_quote finds it
+    as well, here or earlier, and its expression, dear to compile, can be spared."""
+    words = fold_text(quote).split()
+    return bool(words) and not GAP.search(quote) and f" {' '.join(words)} " in plain_page(page_text)
+
+
 def _piece(text: str) -> str:
     """Pattern of a stretch of quote without gaps."""
     s = fold_text(text).strip()
@@ -172,7 +185,7 @@ def quote_span(quotes: pd.Series, pages: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def quote_on(quotes: pd.Series, pages: pd.Series) -> pd.Series:
-    return pd.Series([q is not None and p is not None and find_quote(q, p) is not None for q, p in zip(quotes, pages, strict=True)], dtype="bool")
+    return pd.Series([q is not None and p is not None and (stands_literally(q, p) or find_quote(q, p) is not None) for q, p in zip(quotes, pages, strict=True)], dtype="bool")
 
 
 @F.pandas_udf(T.BooleanType())

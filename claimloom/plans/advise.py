@@ -65,7 +65,8 @@ def _sections(entries: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFra
     none = collect(rows, [when("A-02", (F.col("said") != "") & (F.size("numbers") > 0) & ~F.array_contains("numbers", F.col("said")), F.concat("label", F.lit(".section")), F.concat(F.lit("the paper has no section "), "said"))], place=["rank", "pos"])
 
     # Where each quote starts, as a line of its page; then the last heading at or above it.
-    starts = R.page_spans(entries.where(F.col("lo").isNotNull() & filled("quote")), pages).where("page_text is not null").withColumn("at", M.quote_span("quote", "page_text"))
+    headed = entries.join(known.select("paper_key"), "paper_key", "left_semi")
+    starts = R.page_spans(headed.where(F.col("lo").isNotNull() & filled("quote")), pages).where("page_text is not null").withColumn("at", M.quote_span("quote", "page_text"))
     page_first = lines.where("marker is not null").groupBy("paper_key", F.col("page").alias("lo")).agg(F.min("line_no").alias("first_line"))
     placed = starts.where("at.start is not null").join(page_first, ["paper_key", "lo"]).withColumn("line_no", F.col("first_line") + F.size(F.split(F.substring(X.fold("page_text"), F.lit(1), F.col("at.start")), "\n", -1)))
     stands = as_of(placed.select("paper_key", "rank", "pos", "label", "section", "line_no"), heads.select("paper_key", "line_no", "heading"), "paper_key", "line_no", "heading").where("heading is not null").join(known, "paper_key")

@@ -1,6 +1,8 @@
 """The tolerant quote query against the matcher over all pages of all documents."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from claimloom.functions import matching as M
 from claimloom.operators import entries as E
@@ -54,3 +56,12 @@ def test_contained_against_all_pairs(spark):
     assert sorted(map(tuple, E.contained(long, h, ("n", "needle"), ("h", "text")).collect())) == [p for p in want if len(needles[p[0]].split(" ")) > 2]
     assert E.contained(n.limit(0), h, ("n", "needle"), ("h", "text")).count() == 0
     assert E.contained(n, h.limit(0), ("n", "needle"), ("h", "text")).count() == 0
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="aB1. ,-\n\x1c\u2009(ﬁ’", max_size=24), st.data())
+def test_what_stands_literally_is_found(page, data):
+    a = data.draw(st.integers(0, len(page)))
+    quote = page[a : data.draw(st.integers(a, len(page)))]
+    if M.stands_literally(quote, page):
+        assert M.find_quote(quote, page) is not None
