@@ -65,3 +65,22 @@ def test_what_stands_literally_is_found(page, data):
     quote = page[a : data.draw(st.integers(a, len(page)))]
     if M.stands_literally(quote, page):
         assert M.find_quote(quote, page) is not None
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="aB12. ,-\n\x1c(ﬁ’ßıİ[]…", max_size=24), st.text(alphabet="aB1. ,-\n", max_size=8), st.integers(0, 3), st.data())
+def test_keys_and_literal_places_agree_with_the_expression(page, other, change, data):
+    a = data.draw(st.integers(0, len(page)))
+    part = page[a : data.draw(st.integers(a, len(page)))]
+    quote = [part, part.upper(), part.replace("-", "").replace("1", ""), f"{part} [...] {other[:4]}"][change]
+    page = f"{other} {page}\n{other}"
+    if quote.strip():
+        assert M.find_quote(quote, page) == M.search(quote, page)
+
+
+def test_literal_and_absent_quotes_compile_no_expression():
+    page = "\n".join(f"Order {i} came with the status F." for i in range(100))
+    M._pattern.cache_clear()
+    assert [M.find_quote(f"Order {i} came with the status F.", page) is None for i in (0, 57, 99, 100, 1000)] == [False, False, False, True, True]
+    a, b, _ = M.find_quote("Order 57 came with the status F.", page)
+    assert page[a:b] == "Order 57 came with the status F." and M._pattern.cache_info().misses == 0
