@@ -8,12 +8,15 @@ number that the quote leaves out. A quote's [...] stands for lines that the page
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,7 +69,7 @@ def anchors(key: str) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)).view(np.int64)
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=64)
 def marked_page(text: str) -> str:
     """The folded page with ON and OFF around each footnote number that a quote may leave out."""
     page = fold_text(text)
@@ -81,7 +84,7 @@ def marked_page(text: str) -> str:
     return FOOTNOTE.sub(mark, page)
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=64)
 def plain_page(text: str) -> str:
     """The folded page with single blanks, and one at either end."""
     return f" {regex.sub(r'\s+', ' ', fold_text(text)).strip(' ')} "
@@ -93,7 +96,7 @@ def skeleton(text: str) -> str:
     return regex.sub(r"[^\p{L}\p{Nd}]+", "", fold_text(text).casefold()).replace("ı", "i")
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=64)
 def page_key(text: str) -> tuple[bool, str]:
     """Whether digits count, and the page's skeleton if so, else its letters."""
     page = marked_page(text)
@@ -237,6 +240,34 @@ def key_anchors(keys: pd.Series) -> pd.Series:
     return keys.map(lambda k: None if k is None else anchors(k))
 
 
+#: Texts that a worker holds as Python objects at once, however many an Arrow batch brings.
+SLICE = 128
+
+
+def _sliced(docs: DataFrame, key: str, text: str, column: str, kind: str, make: Callable[[str], Sequence]) -> DataFrame:
+    """(key, column) with a row for each of what make gives for a text; null texts give none."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                made = [() if t is None else make(t) for t in part.column(1).to_pylist()]
+                of = np.repeat(np.arange(len(made)), [len(m) for m in made])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array([x for m in made for x in m], pa.int64() if kind == "long" else pa.string())], [key, column])
+
+    return docs.select(key, text).mapInArrow(rows, f"{key} {docs.schema[key].dataType.simpleString()}, {column} {kind}")
+
+
+def anchor_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram) of the anchors of each text's letters."""
+    return _sliced(docs, key, text, "gram", "long", lambda t: anchors(letters(t)).tolist())
+
+
+def letter_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, letters) of each text."""
+    return _sliced(docs, key, text, "letters", "string", lambda t: [letters(t)])
+
+
 @F.pandas_udf(SPAN)
 def quote_span(quotes: pd.Series, pages: pd.Series) -> pd.DataFrame:
     """find_quote over pairs of columns; null fields where it isn't there."""

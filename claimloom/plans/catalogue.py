@@ -396,15 +396,14 @@ def quote_match_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = read(spark, sf_dir, "benchmark").where(F.trim("text") != "").select("item_id", F.col("text").alias("quote"))
     docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     pieces = quotes.select("item_id", M.piece_key("quote").alias("piece"))
-    keys = docs.select("doc_id", M.letters_key("text").alias("key"))
     grams = pieces.select("item_id", F.explode(M.key_anchors("piece")).alias("gram"))
-    index = cut(keys.select("doc_id", F.explode(M.key_anchors("key")).alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi"))
+    index = cut(M.anchor_rows(docs, "doc_id", "text").join(grams.select("gram").distinct(), "gram", "left_semi"))
     frequency = index.groupBy("gram").agg(F.count("*").alias("df"))
     best = grams.join(frequency, "gram", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("b")).select("item_id", "b.gram")
     met = best.join(index, "gram").select("item_id", "doc_id").distinct()
-    held = met.join(pieces, "item_id").join(keys.join(met.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").where(F.contains("key", "piece"))
+    held = met.join(pieces, "item_id").join(M.letter_rows(docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text"), "doc_id").where(F.contains("letters", "piece"))
     short = pieces.where(F.length("piece") < M.ANCHORED)
-    near = held.select("item_id", "doc_id").unionByName(keys.join(F.broadcast(short), F.contains("key", "piece")).select("item_id", "doc_id"))
+    near = held.select("item_id", "doc_id").unionByName(M.letter_rows(docs, "doc_id", "text").join(F.broadcast(short), F.contains("letters", "piece")).select("item_id", "doc_id"))
     return _placed(near, quotes, docs)
 
 

@@ -84,3 +84,27 @@ def test_literal_and_absent_quotes_compile_no_expression():
     assert [M.find_quote(f"Order {i} came with the status F.", page) is None for i in (0, 57, 99, 100, 1000)] == [False, False, False, True, True]
     a, b, _ = M.find_quote("Order 57 came with the status F.", page)
     assert page[a:b] == "Order 57 came with the status F." and M._pattern.cache_info().misses == 0
+
+
+def test_a_batch_of_texts_is_taken_in_slices(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None, "", *(f"{i} remote caching halves the median build time" for i in "abcdefg" * 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string").coalesce(1)
+    want = sorted((i, g) for i, t in enumerate(texts) if t is not None for g in M.anchors(M.letters(t)).tolist())
+    assert sorted(map(tuple, M.anchor_rows(docs, "d", "t").collect())) == want
+    assert sorted(map(tuple, M.letter_rows(docs, "d", "t").collect())) == [(i, M.letters(t)) for i, t in enumerate(texts) if t is not None]
+    held = {}
+
+    class Frame:
+        schema = docs.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, rows, _):
+            held["sizes"] = [b.num_rows for b in rows([pa.RecordBatch.from_arrays([pa.array(np.arange(1000)), pa.array(["x"] * 1000)], ["d", "t"])])]
+
+    M.letter_rows(Frame(), "d", "t")
+    assert max(held["sizes"]) <= M.SLICE and sum(held["sizes"]) == 1000
