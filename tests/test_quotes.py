@@ -108,3 +108,33 @@ def test_a_batch_of_texts_is_taken_in_slices(spark):
 
     M.letter_rows(Frame(), "d", "t")
     assert max(held["sizes"]) <= M.SLICE and sum(held["sizes"]) == 1000
+
+
+def test_built_in_forms_of_the_matcher_agree_with_it(spark):
+    from pyspark.sql import functions as F
+
+    pages = [PLAIN, PLAIN.replace(" the ", "\nthe "), "Order 57 came\nwith it.", "Order 57 came, 3\twith `it`.", "x Order 57", "a word12\nnext [...] one", "Order 57 ̈ came", "", "ﬁne Straße"]
+    quotes = [PLAIN, "Order 57", "Order 57 came", "Order 5", "came with it.", "`it`.", "Order [...] came", "a word next", "[...]", "Order  57", " Order 57", "fine strasse", "Straße", "order 57"]
+    rows = spark.createDataFrame([(q, p) for q in quotes for p in pages], "q string, p string").withColumns({"pieces": M.piece_keys("q"), "keys": M.page_keys("p")})
+    got = rows.withColumn("w", M.as_written(F.col("q"), F.col("p"))).withColumn("s", M.quote_stands(F.col("q"), F.col("p"))).withColumn("m", M.may_stand_on(F.col("pieces"), F.col("keys"))).collect()
+    for r in got:
+        assert r.s == (M.find_quote(r.q, r.p) is not None), r
+        assert not r.w or M.stands_literally(r.q, r.p), r
+        assert r.m or not M.may_stand(r.q, r.p), r
+    assert sum(r.w for r in got) > 8 and sum(not r.m for r in got) > 40
+
+
+def test_validation_sends_no_quote_that_stands_as_written_to_python(spark, monkeypatch):
+    """Nor one that the keys of a page rule out: an expression is sought in the single pair that is left open."""
+    from pyspark.sql import functions as F
+
+    sent = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("boolean")
+    def count(quotes, pages):
+        sent.add(int((quotes.notna() & pages.notna()).sum()))
+        return quotes.isna() & False
+
+    monkeypatch.setattr(M, "quote_on", count)
+    rows = spark.createDataFrame([(f"Order {i} came.", "\n".join(f"Order {k} came." for k in range(50))) for i in range(50)] + [("order 7 came.", "Order 7 came.")], "q string, p string")
+    assert rows.where(M.quote_stands(F.col("q"), F.col("p"))).count() == 50 and sent.value == 1
