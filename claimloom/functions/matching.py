@@ -70,6 +70,75 @@ def anchors(key: str) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)).view(np.int64)
 
 
+BASE, MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grams(data: bytes, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hashes of all grams of so many bytes), for widths 1, 2, 4 and so on up to most."""
+    h, width = np.frombuffer(data, np.uint8).astype(np.uint64), 1
+    while width <= min(most, len(data)):
+        yield width, h
+        h = h[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + h[width:]
+        width *= 2
+
+
+BYTES, SPAN_OF = 16, 64
+
+
+def byte_anchors(data: bytes) -> np.ndarray:
+    """anchors of a text's bytes as they are, by longer grams in wider windows, sorted: those of a text are among
+    those of all texts that it stands in. Minima are doubled up like grams, so the windows' width costs little."""
+    if len(data) < BYTES + SPAN_OF - 1:
+        return np.empty(0, np.int64)
+    *_, (_, h) = _grams(data, BYTES)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    width = 1
+    while width < SPAN_OF:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.unique(h).view(np.int64)
+
+
+class Finder:
+    """Which of many short needles stand in a text. A needle is known by the grams at its start and end, as wide as
+    a power of two can be; a text's grams are looked up in a table of bits first, and what is found is compared."""
+
+    BITS = np.uint64(44)  # a table of 2**20
+
+    def __init__(self, needles: list[bytes]) -> None:
+        self.needles = needles
+        ends: dict[int, list[tuple[int, int, int, int]]] = {}
+        for i, needle in enumerate(needles):
+            *_, (width, h) = _grams(needle, len(needle))
+            ends.setdefault(width, []).append((len(needle), int(h[0]), int(h[len(needle) - width]), i))
+        self.widest = max(ends, default=0)
+        self.tables = {}
+        for width, rows in ends.items():
+            starts = np.unique(np.array([r[1] for r in rows], np.uint64))
+            bits = np.zeros(1 << 20, bool)
+            bits[(starts * MIX) >> self.BITS] = True
+            lengths: dict[int, dict[int, list[int]]] = {}
+            for length, a, b, i in rows:
+                lengths.setdefault(length, {}).setdefault((a * BASE + b) % (1 << 64), []).append(i)
+            self.tables[width] = bits, starts, [(length, np.sort(np.array(list(codes), np.uint64)), codes) for length, codes in lengths.items()]
+
+    def __call__(self, data: bytes) -> list[int]:
+        out: list[int] = []
+        among = lambda h, known: known[np.minimum(known.searchsorted(h), len(known) - 1)] == h
+        for width, h in _grams(data, self.widest):
+            if width not in self.tables:
+                continue
+            bits, starts, lengths = self.tables[width]
+            at = np.flatnonzero(bits[(h * MIX) >> self.BITS])
+            at = at[among(h[at], starts)]
+            for length, known, codes in lengths if len(at) else ():
+                a = at[at + length <= len(data)]
+                c = h[a] * np.uint64(BASE) + h[a + (length - width)]
+                out += [i for code in np.unique(c[among(c, known)]).tolist() for i in codes[code] if self.needles[i] in data]
+        return out
+
+
 @lru_cache(maxsize=64)
 def marked_page(text: str) -> str:
     """The folded page with ON and OFF around each footnote number that a quote may leave out."""
@@ -264,6 +333,22 @@ def anchor_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return _sliced(docs, key, text, "gram", "long", lambda t: anchors(letters(t)).tolist())
 
 
+def byte_anchor_rows(docs: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """(key, gram) of the byte anchors of each text, or of so many of them at most."""
+    return _sliced(docs.withColumn(text, F.col(text).cast("binary")), key, text, "gram", "long", lambda t: byte_anchors(t)[:most].tolist())
+
+
+def found_rows(docs: DataFrame, key: str, text: str, column: str, needles: list[tuple[int, bytes]]) -> DataFrame:
+    """(key, column) with the ids of the needles that stand in each text. The needles are sent to all tasks."""
+    sent = docs.sparkSession.sparkContext.broadcast(([i for i, _ in needles], Finder([t for _, t in needles])))
+
+    def make(t: bytes) -> list[int]:
+        ids, find = sent.value
+        return [ids[i] for i in find(t)]
+
+    return _sliced(docs.withColumn(text, F.col(text).cast("binary")), key, text, column, "long", make)
+
+
 def letter_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, letters) of each text."""
     return _sliced(docs, key, text, "letters", "string", lambda t: [letters(t)])

@@ -101,10 +101,7 @@ def duplicate_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT a.doc_id AS inner_id, b.doc_id AS outer_id FROM documents a JOIN documents b ON a.doc_id <> b.doc_id AND length(a.text) < length(b.text) AND contains(b.text, a.text) WHERE trim(a.text) <> ''")
 def substring_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    sizes = docs.select("doc_id", F.length("text").alias("size"))
-    pairs = E.contained(docs, docs, ("doc_id", "text"), ("doc_id", "text")).toDF("inner_id", "outer_id").where("inner_id <> outer_id")
-    sized = pairs.join(sizes.toDF("inner_id", "a"), "inner_id").join(sizes.toDF("outer_id", "b"), "outer_id")
-    return sized.where("a < b").select("inner_id", "outer_id")
+    return E.contained(docs, docs, ("doc_id", "text"), ("doc_id", "text"), longer=True).toDF("inner_id", "outer_id").where("inner_id <> outer_id")
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

@@ -138,3 +138,31 @@ def test_validation_sends_no_quote_that_stands_as_written_to_python(spark, monke
     monkeypatch.setattr(M, "quote_on", count)
     rows = spark.createDataFrame([(f"Order {i} came.", "\n".join(f"Order {k} came." for k in range(50))) for i in range(50)] + [("order 7 came.", "Order 7 came.")], "q string, p string")
     assert rows.where(M.quote_stands(F.col("q"), F.col("p"))).count() == 50 and sent.value == 1
+
+
+def test_contained_at_sizes_around_an_anchor_and_among_copies(spark):
+    import random
+
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefgh ß\n") for _ in range(700))
+    texts = [base, base, base[100:], base[:300], base[:300] + "x" + base[300:], "head " * 30 + base[200:230], *(base[k : k + n] for n in (1, 2, 3, 15, 16, 30, 63, 64, 79, 127, 150, E.SHORT - 20, E.SHORT, 250) for k in (0, 11, 333)), base[250:351].upper(), None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    pairs = [(i, j) for i, q in enumerate(texts) for j, t in enumerate(texts) if q and t and q.strip(" ") and q in t]
+    assert sorted(map(tuple, E.contained(rows, rows, ("i", "t"), ("i", "t")).collect())) == pairs
+    assert sorted(map(tuple, E.contained(rows, rows, ("i", "t"), ("i", "t"), longer=True).collect())) == [(i, j) for i, j in pairs if texts[i] != texts[j]]
+    for t in filter(None, texts):
+        assert t not in base or set(M.byte_anchors(t.encode())) <= set(M.byte_anchors(base.encode()))
+        assert len(M.byte_anchors(t.encode())) > 0 or len(t.encode()) < E.SHORT
+
+
+def test_texts_meet_over_rare_anchors_not_over_their_rarest_words(spark):
+    """All words are frequent; no two texts share as much as an anchor but one and the text around it."""
+    import random
+
+    r = random.Random(7)
+    words = [f"w{i:02d}" for i in range(40)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(300)]
+    texts.append(f"{texts[0]} and more")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumns({"_a": E.F.xxhash64("t"), "_b": E.F.xxhash64("t"), "_needle": E.F.col("t"), "_text": E.F.col("t")})
+    assert E._met_by_anchor(rows, rows, True).distinct().count() <= 2
+    assert E.contained(rows, rows, ("i", "t"), ("i", "t"), longer=True).collect() == [(0, 300)]
